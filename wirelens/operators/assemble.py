@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..functions import text, wire
 from ..options import Options
 from . import blocks
+from .blocks import number_rows
 from .materialize import materialize
 from .transactions import assign_transactions
 
@@ -268,23 +269,8 @@ def apply_limits(events: DataFrame, options: Options) -> DataFrame:
 
 
 def assign_sequence(events: DataFrame, *order: str) -> DataFrame:
-    """Number events 1, 2, ... in ``order`` without bringing them into one task.
-
-    Rows are range-partitioned and sorted; the partition sizes (one number per
-    partition) give each partition its offset. The sorted rows are materialized
-    first, so a re-run task cannot disagree with the offsets.
-    """
-    ordered = materialize(
-        events.repartitionByRange(*order).sortWithinPartitions(*order)
-        .withColumn("_place", F.monotonically_increasing_id()))
-    # The upper bits of the id are the partition, the lower 33 the position in it.
-    part = F.shiftrightunsigned("_place", 33)
-    sizes = ordered.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"))
-    offsets = sizes.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_offset"))
-    # One row per partition: never more than the shuffle has partitions.
-    placed = ordered.withColumn("_part", part).join(F.broadcast(offsets), "_part")
-    position = F.col("_place").bitwiseAND(F.lit((1 << 33) - 1))
-    return placed.withColumn("sequence", F.col("_offset") + position + 1).drop("_part", "_place", "_offset")
+    """Number events in completion order (any unique ``order``), from 1."""
+    return number_rows(events, order, "sequence")
 
 
 def assemble_events(messages: DataFrame, options: Options, with_responses: bool = True) -> DataFrame:

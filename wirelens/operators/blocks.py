@@ -20,6 +20,8 @@ from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
 
+from .materialize import materialize
+
 BLOCK = "_block"
 
 
@@ -109,3 +111,22 @@ def first_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column]
     """
     window = Window.partitionBy(*keys).orderBy(*order)
     return df.withColumn(name, F.row_number().over(window)).where(F.col(name) <= limit)
+
+
+def number_rows(df: DataFrame, order: Sequence[str | Column], name: str) -> DataFrame:
+    """Number rows 1, 2, ... along a unique ``order`` without bringing them into one task.
+
+    Rows are range-partitioned and sorted; the partition sizes (one number per
+    partition) give each partition its offset. The sorted rows are materialized
+    first, so a re-run task cannot disagree with the offsets.
+    """
+    ordered = materialize(
+        df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_place", F.monotonically_increasing_id()))
+    # The upper bits of the id are the partition, the lower 33 the position in it.
+    part = F.shiftrightunsigned("_place", 33)
+    sizes = ordered.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"))
+    offsets = sizes.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_offset"))
+    # One row per partition: never more rows than the shuffle has partitions.
+    placed = ordered.withColumn("_part", part).join(F.broadcast(offsets), "_part")
+    position = F.col("_place").bitwiseAND(F.lit((1 << 33) - 1))
+    return placed.withColumn(name, F.col("_offset") + position + 1).drop("_part", "_place", "_offset")

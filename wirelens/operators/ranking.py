@@ -69,10 +69,13 @@ _EVENTS = {
 }
 
 
+def top_of(snapshots: DataFrame, kind: str, n: int) -> DataFrame:
+    return snapshots.orderBy(*[F.desc(f) for f in _EVENTS[kind][1]], F.desc("sequence")).limit(max(1, n))
+
+
 def top_events(events: DataFrame, kind: str, n: int) -> DataFrame:
     """Top events of one kind, by the rounded duration the report shows."""
-    chosen, figures = _EVENTS[kind]
-    return event_snapshot(events.where(chosen())).orderBy(*[F.desc(f) for f in figures], F.desc("sequence")).limit(max(1, n))
+    return top_of(event_snapshot(events.where(_EVENTS[kind][0]())), kind, n)
 
 
 def last_events(events: DataFrame, n: int) -> DataFrame:
