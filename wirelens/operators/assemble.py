@@ -145,7 +145,7 @@ def resolve_param_types(messages: DataFrame, block_rows: int = 65536) -> DataFra
     none = F.array().cast("array<bigint>")
     empty = F.lit(None).cast("array<bigint>")
     told = messages.where(_kind("Parse")).select(*_CONN, _ORDER, "statement_name", "type_ids", F.lit(True).alias("parse"))
-    told = told.unionByName(describe_results(messages, block_rows).withColumn("parse", F.lit(False)))
+    told = told.unionByName(materialize(describe_results(messages, block_rows)).withColumn("parse", F.lit(False)))
     binds = messages.where(_kind("Bind"))
     both = told.withColumn("bind", F.lit(False)).unionByName(
         binds.select(*_CONN, _ORDER, "statement_name", empty.alias("type_ids"), F.lit(False).alias("parse"), F.lit(True).alias("bind")))
@@ -203,6 +203,18 @@ def replies_of(messages: DataFrame, *kinds: str) -> DataFrame:
         *_CONN, _ORDER, "captured_us", "kind", *wanted)
 
 
+def scan_messages(messages: DataFrame, block_rows: int = 65536, max_pending: int | None = None,
+                  with_responses: bool = True) -> DataFrame:
+    """Messages -> requests and replies with queue counters.
+
+    There are two cut points: later steps read these rows several times, and a
+    lost executor then costs a read of stable storage, not a new assembly.
+    """
+    kinds = ("Complete", "Error", "DataRow", "RowDesc") if with_responses else ("Complete", "Error")
+    requests = materialize(resolve_statements(messages, block_rows))
+    return materialize(queue_scan(requests, replies_of(messages, *kinds), block_rows, max_pending))
+
+
 def pair_requests(scanned: DataFrame) -> DataFrame:
     """Close the k-th request of a connection by its k-th surviving completion.
 
@@ -276,11 +288,7 @@ def assign_sequence(events: DataFrame, *order: str) -> DataFrame:
 def assemble_events(messages: DataFrame, options: Options, with_responses: bool = True) -> DataFrame:
     """Decoded messages -> events, with transactions and ids but no sequence yet."""
     rows = options.block_rows
-    # Two cut points: later steps read these rows several times, and a lost
-    # executor then costs a read of stable storage, not a new assembly.
-    requests = materialize(resolve_statements(messages, rows))
-    kinds = ("Complete", "Error", "DataRow", "RowDesc") if with_responses else ("Complete", "Error")
-    scanned = materialize(queue_scan(requests, replies_of(messages, *kinds), rows, options.max_pending))
+    scanned = scan_messages(messages, rows, options.max_pending, with_responses)
     paired = pair_requests(scanned)
     operation = text.infer_operation(F.col("query"), F.col("extended"))
     events = assign_transactions(paired.withColumn("operation", operation), _ORDER, rows).withColumns({

@@ -69,12 +69,12 @@ def latest(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
     return newest.where(F.col("_at") == 1).drop("_at", "batch")
 
 
-def top_events_sink(spark: SparkSession, path: str, kind: str, n: int) -> Callable[[DataFrame, int], None]:
+def top_events_sink(path: str, kind: str, n: int) -> Callable[[DataFrame, int], None]:
     """Keeps the top ``n`` events so far: the list before this batch, and this batch."""
     def write(batch: DataFrame, batch_id: int) -> None:
         own = ranking.top_events(batch, kind, n)
         if batch_id > 0:
-            own = ranking.top_of(own.unionByName(spark.read.parquet(f"{path}/batch={batch_id - 1}")), kind, n)
+            own = ranking.top_of(own.unionByName(batch.sparkSession.read.parquet(f"{path}/batch={batch_id - 1}")), kind, n)
         own.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
     return write
