@@ -6,6 +6,8 @@ as in the message layouts; ``_bytes`` turns them into Spark's one-based ones.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, functions as F
 
 # Parameter type ids and the wire epoch (2000-01-01, Unix microseconds).
@@ -22,18 +24,25 @@ def _bytes(payload: Column, offset: Column | int, length: Column | int) -> Colum
     return F.substring(payload, start + 1, size)
 
 
-def _unsigned(raw: Column) -> Column:
-    return F.conv(F.hex(raw), 16, 10).cast("decimal(20,0)")
+def _unsigned(raw: Column, width: int) -> Column:
+    """Big-endian number; eight bytes need a decimal, fewer fit a bigint."""
+    return F.conv(F.hex(raw), 16, 10).cast("bigint" if width < 8 else "decimal(20,0)")
 
 
 def _signed(raw: Column, width: int) -> Column:
-    value = _unsigned(raw)
-    half, whole = 2 ** (8 * width - 1), 2 ** (8 * width)
-    return F.when(value >= F.lit(str(half)).cast("decimal(20,0)"), value - F.lit(str(whole)).cast("decimal(20,0)")).otherwise(value).cast("bigint")
+    # Shifted by half the range and back, so the bytes are read only once.
+    kind = "bigint" if width < 8 else "decimal(20,0)"
+    half, whole = F.lit(str(2 ** (8 * width - 1))).cast(kind), F.lit(str(2 ** (8 * width))).cast(kind)
+    return (F.pmod(_unsigned(raw, width) + half, whole) - half).cast("bigint")
+
+
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of ``value``, which is computed once however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
 def uint16(payload: Column, offset: Column | int) -> Column:
-    return _unsigned(_bytes(payload, offset, 2)).cast("int")
+    return _unsigned(_bytes(payload, offset, 2), 2).cast("int")
 
 
 def int32(payload: Column, offset: Column | int) -> Column:
@@ -61,43 +70,57 @@ def _until_nul(payload: Column, offset: Column | int, skip: int = 0) -> Column:
 
 def _numbers(payload: Column, offset: Column, count: Column, width: int, signed: bool) -> Column:
     """``count`` big-endian integers from ``offset`` on."""
-    def read(i: Column) -> Column:
-        raw = _bytes(payload, offset + i * width, width)
-        return _signed(raw, width) if signed else _unsigned(raw).cast("bigint")
+    def read(at: Column) -> Column:
+        raw = _bytes(payload, at, width)
+        return _signed(raw, width) if signed else _unsigned(raw, width)
 
-    return F.when(count > 0, F.transform(F.sequence(F.lit(0), count - 1), read)).otherwise(
-        F.array().cast("array<bigint>"))
+    none = F.array().cast("array<bigint>")
+    return _let(F.struct(offset.cast("int").alias("at"), count.alias("n")), lambda s: F.when(
+        s["n"] > 0, F.transform(F.sequence(s["at"], s["at"] + (s["n"] - 1) * width, F.lit(width)), read)).otherwise(none))
 
 
-def _fields(payload: Column, offset: Column, count: Column) -> Column:
-    """Length-prefixed byte strings; length -1 is null. The offset is carried along."""
-    start = F.struct(offset.cast("int").alias("at"), F.array().cast("array<binary>").alias("out"))
+def _walk(payload: Column, offset: Column, count: Column, kind: str, item: Callable[[Column], Column]) -> Column:
+    """A list whose items have their own lengths: the offset is carried along.
+
+    ``item`` gives a struct of ``value`` and ``next`` for an offset.
+    """
+    none = F.array().cast(f"array<{kind}>")
 
     def step(state: Column, _i: Column) -> Column:
-        size = int32(payload, state["at"])
-        value = F.when(size >= 0, _bytes(payload, state["at"] + 4, size))
-        return F.struct(
-            (state["at"] + 4 + F.greatest(size, F.lit(0))).cast("int").alias("at"),
-            F.concat(state["out"], F.array(value)).alias("out"),
-        )
+        return _let(item(state["at"]), lambda got: F.struct(
+            got["next"].cast("int").alias("at"), F.concat(state["out"], F.array(got["value"])).alias("out")))
 
-    none = F.array().cast("array<binary>")
+    start = F.struct(offset.cast("int").alias("at"), none.alias("out"))
     return F.when(count > 0, F.aggregate(F.sequence(F.lit(1), count), start, step, lambda s: s["out"])).otherwise(none)
 
 
+def _fields(payload: Column, offset: Column, count: Column) -> Column:
+    """Length-prefixed byte strings; length -1 is null."""
+    def item(at: Column) -> Column:
+        return _let(F.struct(at.alias("at"), int32(payload, at).alias("size")), lambda s: F.struct(
+            F.when(s["size"] >= 0, _bytes(payload, s["at"] + 4, s["size"])).alias("value"),
+            (s["at"] + 4 + F.greatest(s["size"], F.lit(0))).alias("next")))
+
+    return _walk(payload, offset, count, "binary", item)
+
+
 def decode_query(payload: Column) -> Column:
     size = F.octet_length(payload)
     ends = (size > 0) & (F.hex(_bytes(payload, size - 1, 1)) == "00")
     return utf8(F.when(ends, _bytes(payload, 0, size - 1)).otherwise(payload))
 
 
+def _two_names(payload: Column) -> Column:
+    """The two leading strings and the offset behind them."""
+    return _let(F.struct(_until_nul(payload, 0).alias("a"), _until_nul(payload, 0, 1).alias("b")), lambda s: F.struct(
+        s["a"].alias("a"), s["b"].alias("b"), (F.octet_length(s["a"]) + F.octet_length(s["b"]) + 2).alias("at")))
+
+
 def decode_parse(payload: Column) -> Column:
-    name, query = _until_nul(payload, 0), _until_nul(payload, 0, 1)
-    at = F.octet_length(name) + F.octet_length(query) + 2
-    return F.struct(
-        utf8(name).alias("statement_name"), utf8(query).alias("query"),
-        _numbers(payload, at + 2, uint16(payload, at), 4, signed=False).alias("type_ids"),
-    )
+    return _let(_two_names(payload), lambda head: F.struct(
+        utf8(head["a"]).alias("statement_name"), utf8(head["b"]).alias("query"),
+        _numbers(payload, head["at"] + 2, uint16(payload, head["at"]), 4, signed=False).alias("type_ids"),
+    ))
 
 
 def decode_describe(payload: Column) -> Column:
@@ -107,31 +130,25 @@ def decode_describe(payload: Column) -> Column:
 
 
 def decode_bind(payload: Column) -> Column:
-    portal, name = _until_nul(payload, 0), _until_nul(payload, 0, 1)
-    at = F.octet_length(portal) + F.octet_length(name) + 2
-    codes = uint16(payload, at)
-    params_at = at + 2 + codes * 2
-    return F.struct(
-        utf8(portal).alias("portal"), utf8(name).alias("statement_name"),
-        _numbers(payload, at + 2, codes, 2, signed=True).alias("format_codes"),
-        _fields(payload, params_at + 2, uint16(payload, params_at)).alias("params"),
-    )
+    def rest(head: Column) -> Column:
+        params_at = head["at"] + 2 + head["codes"] * 2
+        return F.struct(
+            utf8(head["a"]).alias("portal"), utf8(head["b"]).alias("statement_name"),
+            _numbers(payload, head["at"] + 2, head["codes"], 2, signed=True).alias("format_codes"),
+            _fields(payload, params_at + 2, uint16(payload, params_at)).alias("params"),
+        )
+
+    return _let(_let(_two_names(payload), lambda h: F.struct(
+        h["a"].alias("a"), h["b"].alias("b"), h["at"].alias("at"), uint16(payload, h["at"]).alias("codes"))), rest)
 
 
 def decode_row_description(payload: Column) -> Column:
     """Column names; each is followed by 18 bytes of type detail."""
-    count = uint16(payload, 0)
-    start = F.struct(F.lit(2).alias("at"), F.array().cast("array<string>").alias("out"))
-
-    def step(state: Column, _i: Column) -> Column:
-        name = _until_nul(payload, state["at"])
-        return F.struct(
-            (state["at"] + F.octet_length(name) + 19).cast("int").alias("at"),
-            F.concat(state["out"], F.array(utf8(name))).alias("out"),
-        )
+    def item(at: Column) -> Column:
+        return _let(F.struct(at.alias("at"), _until_nul(payload, at).alias("name")), lambda s: F.struct(
+            utf8(s["name"]).alias("value"), (s["at"] + F.octet_length(s["name"]) + 19).alias("next")))
 
-    none = F.array().cast("array<string>")
-    return F.when(count > 0, F.aggregate(F.sequence(F.lit(1), count), start, step, lambda s: s["out"])).otherwise(none)
+    return _walk(payload, F.lit(2), uint16(payload, 0), "string", item)
 
 
 def decode_data_row(payload: Column) -> Column:

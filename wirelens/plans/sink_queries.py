@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.filters import compile_filter
-from ..operators.materialize import new_path
+from ..operators.materialize import materialize, new_path
 from ..sources import readers, sinks
 from ..streaming import stateful, streams
 from . import oracle as O
@@ -218,20 +218,19 @@ def _console(spark: SparkSession, folder: str) -> DataFrame:
     return sinks.event_lines(sinks.visible(trace(spark, folder), filter_line="slow or error"), "preview")
 
 
-# --- streams: files of one day each, in order -------------------------------------------------
+# --- streams: files of some days each, in order -------------------------------------------------
 
 DAY_US = 86_400_000_000
 LATE = "2 days"
 
 
-def _by_day(spark: SparkSession, rows: DataFrame, at: str, order: str) -> DataFrame:
-    """A stream that reads one day's file after the other."""
-    path = new_path(spark, "days")
-    day = F.floor(F.col(at) / DAY_US).alias("day")
-    days = [r["day"] for r in rows.select(day).distinct().orderBy("day").collect()]
-    for number, value in enumerate(days):
-        part = rows.where(day == value).repartition(1).sortWithinPartitions(order)
-        part.write.mode("append").parquet(f"{path}/part={number:05d}")
+def _in_parts(spark: SparkSession, rows: DataFrame, at: str, order: str, days: int = 5) -> DataFrame:
+    """A stream that reads one file after the other, each with the rows of some days."""
+    path = new_path(spark, "parts")
+    part = F.floor(F.col(at) / (days * DAY_US)).alias("part")
+    kept = materialize(rows)
+    for row in kept.select(part).distinct().orderBy("part").collect():
+        kept.where(part == row["part"]).repartition(1).sortWithinPartitions(order).write.parquet(f"{path}/part={row['part']:06d}")
     return readers.stream_events(spark, f"{path}/*", rows.schema)
 
 
@@ -246,7 +245,7 @@ def _read(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _event_stream(spark: SparkSession, folder: str) -> DataFrame:
-    return _by_day(spark, trace(spark, folder), "started_us", "sequence")
+    return _in_parts(spark, trace(spark, folder), "started_us", "sequence")
 
 
 @add("src5_event_stream", O.events("select sequence, started_us, query from ev"))
@@ -258,14 +257,14 @@ def _source(spark: SparkSession, folder: str) -> DataFrame:
 @add("str1_enrich", O.events(
     "select sequence, slow, normalized_query, n_plus_1_scope, case when error <> '' then 'ERROR' when slow then 'SLOW' else 'OK' end as status from ev"))
 def _str1(spark: SparkSession, folder: str) -> DataFrame:
-    rows = _by_day(spark, trace_tx(spark, folder), "started_us", "sequence")
+    rows = _in_parts(spark, trace_tx(spark, folder), "started_us", "sequence")
     out, _ = _run(spark, streams.stream_enrich(rows, TRACE).select("sequence", "slow", "normalized_query", "n_plus_1_scope", "status"))
     return _read(spark, out)
 
 
 def _nplus1(spark: SparkSession, folder: str) -> DataFrame:
     stateful.use_rocksdb(spark)
-    rows = _by_day(spark, trace_tx(spark, folder), "started_us", "sequence")
+    rows = _in_parts(spark, trace_tx(spark, folder), "started_us", "sequence")
     out, _ = _run(spark, stateful.stream_nplus1(rows, TRACE, LATE))
     return _read(spark, out)
 
@@ -282,7 +281,7 @@ def _str2_alerts(spark: SparkSession, folder: str) -> DataFrame:
 
 def _assembled(spark: SparkSession, folder: str) -> DataFrame:
     stateful.use_rocksdb(spark)
-    rows = _by_day(spark, messages(spark, folder), "captured_us", "frame_no")
+    rows = _in_parts(spark, messages(spark, folder), "captured_us", "frame_no")
     out, _ = _run(spark, stateful.stream_assemble(rows, TRACE, LATE, 40 * DAY_US))
     return _read(spark, out)
 
@@ -304,7 +303,7 @@ def _str4(spark: SparkSession, folder: str) -> DataFrame:
         (F.lit("marker") if c == "connection_id" else F.lit("Ready") if c == "kind" else F.col(c) + 10 * DAY_US if c == "captured_us" else F.col(c)).alias(c)
         for c in rows.columns])
     again = marker.withColumns({"captured_us": F.col("captured_us") + 10 * DAY_US})
-    stream = _by_day(spark, rows.unionByName(marker).unionByName(again), "captured_us", "frame_no")
+    stream = _in_parts(spark, rows.unionByName(marker).unionByName(again), "captured_us", "frame_no")
     out, _ = _run(spark, stateful.stream_assemble(stream, TRACE, LATE, 3 * DAY_US))
     return _read(spark, out).where("status_tag = 'DISCONNECTED'").select("event_id", "query", "error", "status_tag")
 

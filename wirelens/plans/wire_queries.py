@@ -68,9 +68,11 @@ def _payloads() -> dict[str, Column]:
     }
 
 
-def payload(name: str, answer: str, kind: str, show: Callable[[Column], list[Column]]) -> None:
+def payload(name: str, answer: str, kind: str, decoder: Callable[[Column], Column], show: Callable[[Column], list[Column]]) -> None:
+    """Decode one payload per order; the decoded value is a column of its own, so it is computed once."""
     def make(spark: SparkSession, folder: str) -> DataFrame:
-        return _orders(spark, folder).select("key", *show(_payloads()[kind]))
+        frames = _orders(spark, folder).select("key", _payloads()[kind].alias("payload"))
+        return frames.select("key", decoder(F.col("payload")).alias("d")).select("key", *show(F.col("d")))
 
     QUERIES[name] = (make, answer)
 
@@ -105,32 +107,30 @@ QUERIES["src2_frame_size"] = (_frame_sizes, (
 
 _SIGNED = "case when o_orderkey % 2 = 1 then -o_orderkey else o_orderkey end"
 payload("dec1_query", "select o_orderkey as key, o_orderpriority as query from orders", "query",
-        lambda p: [wire.decode_query(p).alias("query")])
+        wire.decode_query, lambda d: [d.alias("query")])
 payload("dec2_parse", "select o_orderkey as key, 's1' as statement_name, o_orderpriority as query, o_orderkey || ',23' as types from orders", "parse",
-        lambda p: [wire.decode_parse(p)["statement_name"].alias("statement_name"), wire.decode_parse(p)["query"].alias("query"),
-                   F.array_join(wire.decode_parse(p)["type_ids"].cast("array<string>"), ",").alias("types")])
+        wire.decode_parse, lambda d: [d["statement_name"].alias("statement_name"), d["query"].alias("query"),
+                                      F.array_join(d["type_ids"].cast("array<string>"), ",").alias("types")])
 payload("dec3_describe", "select o_orderkey as key, case when o_orderkey % 3 = 0 then 'P' else 'S' end as object, o_orderpriority as name from orders", "describe",
-        lambda p: [wire.decode_describe(p)["object"].alias("object"), wire.decode_describe(p)["statement_name"].alias("name")])
+        wire.decode_describe, lambda d: [d["object"].alias("object"), d["statement_name"].alias("name")])
 payload("dec4_bind", f"select o_orderkey as key, 'p' as portal, 's1' as statement_name, '0,1' as codes, o_orderpriority || '|' || ({_SIGNED}) || '|NULL' as args from orders",
-        "bind", lambda p: [
-            wire.decode_bind(p)["portal"].alias("portal"), wire.decode_bind(p)["statement_name"].alias("statement_name"),
-            F.array_join(wire.decode_bind(p)["format_codes"].cast("array<string>"), ",").alias("codes"),
-            F.array_join(wire.decode_args(wire.decode_bind(p)["params"], wire.decode_bind(p)["format_codes"],
-                                          F.array(F.lit(25), F.lit(20)).cast("array<bigint>")), "|").alias("args")])
+        "bind", wire.decode_bind, lambda d: [
+            d["portal"].alias("portal"), d["statement_name"].alias("statement_name"),
+            F.array_join(d["format_codes"].cast("array<string>"), ",").alias("codes"),
+            F.array_join(wire.decode_args(d["params"], d["format_codes"], F.array(F.lit(25), F.lit(20)).cast("array<bigint>")), "|").alias("args")])
 payload("dec9_row_description", "select o_orderkey as key, o_orderpriority || ',n' as columns from orders", "row_description",
-        lambda p: [F.array_join(wire.decode_row_description(p), ",").alias("columns")])
+        wire.decode_row_description, lambda d: [F.array_join(d, ",").alias("columns")])
 payload("dec10_data_row", "select o_orderkey as key, 3::bigint as fields, true as second_null, length(o_orderpriority)::bigint as first_size from orders", "data_row",
-        lambda p: [F.size(wire.decode_data_row(p)).cast("bigint").alias("fields"),
-                   F.get(wire.decode_data_row(p), F.lit(1)).isNull().alias("second_null"),
-                   F.octet_length(F.get(wire.decode_data_row(p), F.lit(0))).cast("bigint").alias("first_size")])
+        wire.decode_data_row, lambda d: [F.size(d).cast("bigint").alias("fields"), F.get(d, F.lit(1)).isNull().alias("second_null"),
+                                         F.octet_length(F.get(d, F.lit(0))).cast("bigint").alias("first_size")])
 payload("dec11_cell_text", "select o_orderkey as key, o_orderpriority || '|NULL|0xff' || lpad(lower(to_hex(o_orderkey % 65536)), 4, '0') as cells from orders", "data_row",
-        lambda p: [F.array_join(F.transform(wire.decode_data_row(p), wire.cell_text), "|").alias("cells")])
+        wire.decode_data_row, lambda d: [F.array_join(F.transform(d, wire.cell_text), "|").alias("cells")])
 payload("dec12_param_description", "select o_orderkey as key, o_orderkey || ',4294967295' as types from orders", "param_description",
-        lambda p: [F.array_join(wire.decode_param_description(p).cast("array<string>"), ",").alias("types")])
-payload("dec14_error", "select o_orderkey as key, o_orderpriority as error from orders", "error",
-        lambda p: [wire.decode_error(p).alias("error")])
+        wire.decode_param_description, lambda d: [F.array_join(d.cast("array<string>"), ",").alias("types")])
 payload("dec13_command_tag", "select o_orderkey as key, 'INSERT 0 ' || (o_orderkey % 7) as tag, o_orderkey % 7 as rows_affected from orders", "tag",
-        lambda p: [wire.decode_command_tag(p).alias("tag"), wire.rows_affected(wire.decode_command_tag(p)).alias("rows_affected")])
+        wire.decode_command_tag, lambda d: [d.alias("tag"), wire.rows_affected(d).alias("rows_affected")])
+payload("dec14_error", "select o_orderkey as key, o_orderpriority as error from orders", "error",
+        wire.decode_error, lambda d: [d.alias("error")])
 
 
 def _format_rule(spark: SparkSession, folder: str) -> DataFrame:
@@ -159,7 +159,8 @@ def _parameters(spark: SparkSession, folder: str) -> DataFrame:
     raw = type_id = binary = F
     for at, oid, value, is_binary in kinds:
         raw, type_id, binary = raw.when(case == at, value), type_id.when(case == at, oid), binary.when(case == at, is_binary)
-    return _orders(spark, folder).select("key", wire.decode_parameter(raw, type_id, binary).alias("value"))
+    rows = _orders(spark, folder).select("key", raw.alias("raw"), type_id.alias("type_id"), binary.alias("binary"))
+    return rows.select("key", wire.decode_parameter(F.col("raw"), F.col("type_id"), F.col("binary")).alias("value"))
 
 
 _HEX16 = "lpad(lower(to_hex(o_orderkey)), 16, '0')"

@@ -193,6 +193,14 @@ def _cell(value: Column) -> Column:
     return text.escape_pipe(value.cast("string"))
 
 
+def _table_line(columns: list[str]) -> Callable[[Column, Column], Column]:
+    def line(r: Column, i: Column) -> Column:
+        cells = [(i + 1).cast("string"), *[_cell(r[c]) for c in columns], _cell(text.compact_query(r["query"], 180))]
+        return F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |"))
+
+    return line
+
+
 def report_markdown(events: DataFrame, top: int = 10, filter_line: str = "", title: str = "Summary report",
                     generated_at: Column | None = None) -> DataFrame:
     """Report as numbered Markdown lines; its size is bounded by ``top``."""
@@ -208,12 +216,8 @@ def report_markdown(events: DataFrame, top: int = 10, filter_line: str = "", tit
     ]
     parts = [F.array(*head)]
     for heading, group, kind, names, rule, columns in _TABLES:
-        def line(r: Column, i: Column, columns: list[str] = columns) -> Column:
-            cells = [(i + 1).cast("string"), *[_cell(r[c]) for c in columns], _cell(text.compact_query(r["query"], 180))]
-            return F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |"))
-
         parts.append(F.array(F.lit(""), F.lit(f"## {heading}"), F.lit(""), F.lit(names), F.lit(rule)))
-        parts.append(F.transform(F.col(f"top_{group}.{kind}"), line))
+        parts.append(F.transform(F.col(f"top_{group}.{kind}"), _table_line(columns)))
     return row.select(F.posexplode(F.concat(*parts)).alias("line_no", "value"))
 
 
