@@ -15,7 +15,7 @@ _SPACE = r"\s\x1c-\x1f\x85\p{Z}"
 # Statements that read; a number may stand between these characters.
 READING = ["SELECT", "SHOW", "WITH", "VALUES", "EXPLAIN", "FETCH"]
 TX_CONTROL = ["BEGIN", "COMMIT", "ROLLBACK"]
-_EDGE = rf"[{_SPACE},()=<>+\-*/;]"
+_EDGE = rf"{_SPACE},()=<>+\-*/;"
 _DIGIT = r"[\p{Nd}²³¹⁰⁴-⁹₀-₉]"
 
 TRUNCATED = "... [truncated]"
@@ -57,7 +57,7 @@ def compact_query(text: Column, limit: int) -> Column:
 def normalize_sql(sql: Column) -> Column:
     """Query template: literals become '?', free-standing numbers ?, spaces collapse."""
     literals = F.regexp_replace(sql, "'(?:[^']|'')*+'?", "'?'")
-    numbers = F.regexp_replace(literals, rf"(?<=^|{_EDGE}){_DIGIT}(?:{_DIGIT}|\.)*+(?=\z|{_EDGE})", "?")
+    numbers = F.regexp_replace(literals, rf"(?<![^{_EDGE}]){_DIGIT}(?:{_DIGIT}|\.)*+(?![^{_EDGE}])", "?")
     return F.btrim(F.regexp_replace(numbers, rf"[{_SPACE}]+", " "))
 
 

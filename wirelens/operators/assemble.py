@@ -98,23 +98,22 @@ def resolve_statements(messages: DataFrame, block_rows: int = 65536) -> DataFram
         "_bind": (_kind("Bind"), F.struct("statement_name", "args")),
         "_latest": (_kind("Parse"), F.col("query")),
     }, block_rows)
-    runs = bound.where(_kind("Execute")).select(
+    runs = materialize(bound.where(_kind("Execute")).select(
         *_CONN, _ORDER, "captured_us", F.lit(True).alias("run"),
         F.coalesce(F.col("_bind.statement_name"), F.lit("")).alias("name"),
         F.coalesce(F.col("_bind.args"), F.array().cast(_NO_TEXTS)).alias("args"), "_latest",
         F.lit(None).cast("string").alias("parsed"),
-    )
+    ))
+    # Unnamed statements are not in this list, so unnamed runs find nothing in it.
     parses = messages.where(_kind("Parse") & (F.col("statement_name") != "")).select(
         *_CONN, _ORDER, "captured_us", F.lit(False).alias("run"), F.col("statement_name").alias("name"),
         F.lit(None).cast(_NO_TEXTS).alias("args"), F.lit(None).cast("string").alias("_latest"),
         F.col("query").alias("parsed"),
     )
-    named = blocks.last_before(
-        runs.where(F.col("name") != "").unionByName(parses), [*_CONN, "name"], _ORDER,
-        {"_named": (~F.col("run"), F.col("parsed"))}, block_rows,
-    ).where("run").select(*_CONN, _ORDER, "captured_us", "args", F.coalesce("_named", "_latest").alias("query"))
-    unnamed = runs.where(F.col("name") == "").select(*_CONN, _ORDER, "captured_us", "args", F.col("_latest").alias("query"))
-    executed = named.unionByName(unnamed).withColumn("extended", F.lit(True))
+    executed = blocks.last_before(
+        runs.unionByName(parses), [*_CONN, "name"], _ORDER, {"_named": (~F.col("run"), F.col("parsed"))}, block_rows,
+    ).where("run").select(
+        *_CONN, _ORDER, "captured_us", "args", F.coalesce("_named", "_latest").alias("query"), F.lit(True).alias("extended"))
     simple = messages.where(_kind("Query")).select(
         *_CONN, _ORDER, "captured_us", F.array().cast(_NO_TEXTS).alias("args"), "query", F.lit(False).alias("extended"))
     return executed.unionByName(simple).where(F.coalesce(F.col("query"), F.lit("")) != "")
@@ -168,17 +167,16 @@ def queue_scan(requests: DataFrame, replies: DataFrame, block_rows: int = 65536,
     and the counters are restated for the rows after it (``breached``).
     """
     rows = requests.withColumn("kind", F.lit("Request")).unionByName(replies, allowMissingColumns=True)
-    scanned = fifo_counts(
-        rows, _CONN, _ORDER, _kind("Request"), _kind("Complete", "Error"), block_rows, last="captured_us")
-    if max_pending is None:
+    scanned = materialize(fifo_counts(
+        rows, _CONN, _ORDER, _kind("Request"), _kind("Complete", "Error"), block_rows, last="captured_us"))
+    # File statistics of ``depth`` answer this nearly for free where nothing breaches.
+    too_many = F.col("is_open") & (F.col("depth") > max_pending) if max_pending is not None else F.lit(False)
+    if max_pending is None or scanned.where(too_many).isEmpty():
         return scanned.withColumn("breached", F.lit(False))
     staged = blocks.with_block(scanned, _ORDER, block_rows)
     # The queue just before the first breach of each connection.
     state = F.struct(F.col(_ORDER).alias("at"), (F.col("opened") - 1).alias("opened"), "low")
-    first = (
-        staged.where(F.col("is_open") & (F.col("depth") > max_pending))
-        .groupBy(*_CONN).agg(F.min(state).alias("_first"))
-    )
+    first = staged.where(too_many).groupBy(*_CONN).agg(F.min(state).alias("_first"))
     reached = (
         staged.select(*_CONN, blocks.BLOCK).distinct().join(first, _CONN)
         .where(F.col(blocks.BLOCK) + block_rows > F.col("_first.at"))
@@ -207,12 +205,12 @@ def scan_messages(messages: DataFrame, block_rows: int = 65536, max_pending: int
                   with_responses: bool = True) -> DataFrame:
     """Messages -> requests and replies with queue counters.
 
-    There are two cut points: later steps read these rows several times, and a
-    lost executor then costs a read of stable storage, not a new assembly.
+    Requests and scan are written to the shared folder, because later steps read
+    them several times.
     """
     kinds = ("Complete", "Error", "DataRow", "RowDesc") if with_responses else ("Complete", "Error")
     requests = materialize(resolve_statements(messages, block_rows))
-    return materialize(queue_scan(requests, replies_of(messages, *kinds), block_rows, max_pending))
+    return queue_scan(requests, replies_of(messages, *kinds), block_rows, max_pending)
 
 
 def pair_requests(scanned: DataFrame) -> DataFrame:

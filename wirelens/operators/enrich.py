@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions import text
 from ..options import Options
 from . import blocks, cooldown
+from .materialize import materialize
 
 _KEY = ["n_plus_1_scope", "normalized_query"]
 
@@ -105,8 +106,12 @@ def detect_nplus1(events: DataFrame, options: Options) -> DataFrame:
 
 
 def enrich(df: DataFrame, options: Options) -> DataFrame:
-    """Assembled events -> query events with every derived column."""
-    return detect_nplus1(add_basics(df, options), options)
+    """Assembled events -> query events with every derived column.
+
+    The row-wise columns are written first: detection reads the few columns it
+    needs from there several times, and the result joins to it once.
+    """
+    return detect_nplus1(materialize(add_basics(df, options)), options)
 
 
 def nplus1_alerts(events: DataFrame, options: Options) -> DataFrame:
