@@ -136,3 +136,18 @@ def test_concurrency(spark):
     for block_us in (1_000, 10_000_000):
         found = timeline.concurrency(spark.createDataFrame(rows, "connection_id string, started_us bigint, duration_ms double"), block_us=block_us)
         assert {r.connection_id: r.peak for r in found.collect()} == {"a": 3, "b": 1}
+
+
+def test_fitting_width(spark):
+    rows = spark.createDataFrame([("hot", t) for t in range(1000)] + [("one", 5)] * 40, "k string, t bigint")
+    width = blocks.fitting_width(rows, ["k"], "t", 10_000, 50)
+    assert 1 <= width <= 50
+    assert blocks.fitting_width(rows, ["k"], "t", 64, 100) == 64
+    # Equal values stay together at any width.
+    assert blocks.fitting_width(rows, ["k"], "t", 64, 10) == 1
+
+
+def test_hot_key_plans_limit_before_the_shuffle(spark):
+    rows = spark.range(100).select((F.col("id") % 3).alias("k"), F.col("id").alias("n"))
+    plan = blocks.first_rows(rows, ["k"], ["n"], 5)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("WindowGroupLimit") == 2

@@ -31,6 +31,22 @@ def with_block(df: DataFrame, order: str | Column, size: int) -> DataFrame:
     return df.withColumn(BLOCK, value - F.pmod(value, F.lit(size)))
 
 
+def fitting_width(df: DataFrame, keys: Sequence[str], order: str, width: int, most: int) -> int:
+    """Largest width, halved from ``width``, at which no block of a key holds more than ``most`` rows.
+
+    Order values that repeat (equal times) cannot be told apart by any width, so
+    the search ends at one unit. Each try is one aggregation over two narrow
+    columns, combined on the map side; usually the first one settles it.
+    """
+    while width > 1:
+        fullest = with_block(df.select(*keys, order), order, width).groupBy(*keys, BLOCK).count().agg(F.max("count")).head()[0] or 0
+        if fullest <= most:
+            break
+        # Rows spread evenly would fit at this fraction; go at least to the half.
+        width = max(1, min(width // 2, width * most // fullest))
+    return width
+
+
 def earlier_blocks(keys: Sequence[str]) -> WindowSpec:
     return Window.partitionBy(*keys).orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)
 

@@ -96,7 +96,9 @@ def detect_nplus1(events: DataFrame, options: Options) -> DataFrame:
     if options.nplus1_threshold <= 0:
         return events.withColumns({
             "n_plus_1_hits": none, "n_plus_1_distinct_args": none, "n_plus_1": F.lit(False)})
-    counts = window_hits(candidates(events), options.window_us, options.block_us)
+    rows = candidates(events)
+    width = blocks.fitting_width(rows, _KEY, "started_us", options.block_us, options.block_most)
+    counts = window_hits(rows, options.window_us, width)
     # The sequence is unique, so this join cannot be skewed.
     joined = events.join(counts.select("sequence", "n_plus_1_hits", "n_plus_1_distinct_args"), "sequence", "left")
     return joined.withColumns({

@@ -45,9 +45,11 @@ class Options:
     report_top: int = 10
 
     # Width of the blocks a long key is cut into (see operators/blocks.py):
-    # rows for sequence-ordered scans, seconds for time-ordered ones.
+    # rows for sequence-ordered scans, seconds for time-ordered ones. Detection
+    # narrows the latter until no block of a key has more than ``block_most`` rows.
     block_rows: int = 65536
     block_seconds: float = 60.0
+    block_most: int = 4_000_000
 
     @property
     def window_us(self) -> int:

@@ -294,7 +294,7 @@ def _str3(spark: SparkSession, folder: str) -> DataFrame:
         "event_id", "frame_no", "query", F.array_join("args", "|").alias("args"), "error", "status_tag", "rows_affected", "duration_ms")
 
 
-@add("str4_idle_flush")
+@add("str4_idle_flush", O.assembly("select connection_id || '-' || rank as event_id, query, error, status_tag from paired where not completed"))
 def _str4(spark: SparkSession, folder: str) -> DataFrame:
     """Connections are closed after three silent days; a late marker row moves time on."""
     stateful.use_rocksdb(spark)
