@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import language_model, substrings, suffixes
+from . import language_model, simhash, substrings, suffixes
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -21,6 +21,11 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint of every document and the component of fingerprints within four bits."""
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes of 100-byte strings that start earlier elsewhere, removed from every document."""
     found = suffixes.remove_repeated_bytes(table(spark, sf_dir, "documents"))
@@ -34,6 +39,7 @@ def op10_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, tuple[Query, str | None]] = {
     "op2_substring_dedup": (op2_substring_dedup, None),
+    "op7_simhash_near_dedup": (op7_simhash_near_dedup, None),
     "op8_suffix_dedup": (op8_suffix_dedup, None),
     "op10_language_model": (op10_language_model, None),
 }
