@@ -17,6 +17,8 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 GRAM = 32  # bytes of an anchor
 PLACES = np.uint64((1 << 24) - 1)
 PROBE = 6
+# Pieces compared at a time, apart from those of one anchor.
+BLOCK = 8192
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, removed array<struct<start: long, stop: long>>"
 
 
@@ -159,7 +161,7 @@ def remove_repeated_bytes(documents: DataFrame, length: int = 100) -> DataFrame:
     """
     if length <= GRAM:
         raise ValueError(f"a window is longer than {GRAM} bytes")
-    plan = units.layout(documents, bucket_bytes=8 << 20)
+    plan = units.layout(documents)
     bits, places = plan.bits, length - GRAM
     columns = places + length
     mask = units.cut(bits, PROBE)
@@ -188,50 +190,39 @@ def remove_repeated_bytes(documents: DataFrame, length: int = 100) -> DataFrame:
 
     def compare(table: pa.Table) -> pa.Table:
         unit = table.column("unit").to_numpy()
+        rank = np.unique(unit, return_inverse=True)[1].astype(np.int32)
         kinds, contents, owners, sizes, leads, bodies = [], [], [], [], [], []
         for i in range(table.num_rows):
             pair = np.frombuffer(table.column("hashes")[i].as_buffer(), np.uint64).reshape(2, -1)
             held = table.column("extra")[i].as_py()
             body = pa.decompress(held[8:], int.from_bytes(held[:8], "little"), "zstd", asbytes=True)
             head = np.frombuffer(body, np.int32, 2 * pair.shape[1]).reshape(2, -1)
-            kinds.append(pair[0]), contents.append(pair[1]), owners.append(np.full(pair.shape[1], i))
+            kinds.append(pair[0]), contents.append(pair[1]), owners.append(np.full(pair.shape[1], i, np.int32))
             sizes.append(head[0]), leads.append(head[1]), bodies.append(np.frombuffer(body, np.uint8, offset=head.nbytes))
         kind, content, owner = np.concatenate(kinds), np.concatenate(contents), np.concatenate(owners)
-        size, lead, body = np.concatenate(sizes).astype(np.int64), np.concatenate(leads).astype(np.int64), np.concatenate(bodies)
-        where = np.concatenate([[0], np.cumsum(size)[:-1]])
-        order = np.lexsort((unit[owner], content, kind))
-        fresh = np.ones(len(order), bool)
-        fresh[1:] = (kind[order][1:] != kind[order][:-1]) | (content[order][1:] != content[order][:-1])
-        piece = np.empty(len(order), np.int64)
-        piece[order] = np.cumsum(fresh) - 1
-        lone = order[fresh]  # each distinct piece where its first unit has it
-        least = unit[owner[lone]].astype(np.int64)
-        low = places - lead[lone]
-        result = np.repeat(least[:, None], places + 1, axis=1)
-        # An anchor with one distinct piece has nothing to compare.
-        kinds_of = kind[lone]
-        changed = np.concatenate([[True], kinds_of[1:] != kinds_of[:-1]])
-        members = np.diff(np.concatenate([np.flatnonzero(changed), [len(lone)]]))
-        several = np.flatnonzero(np.repeat(members, members) > 1)
-        if len(several):
-            text = np.zeros((len(several), columns), np.uint8)
-            s = size[lone[several]]
-            line, step = np.repeat(np.arange(len(several)), s), np.arange(s.sum()) - np.repeat(np.cumsum(s) - s, s)
-            text[line, step + np.repeat(low[several], s)] = body[step + np.repeat(where[lone[several]], s)]
-            result[several] = earliest(kinds_of[several], least[several], text, low[several], low[several] + s, length)
-        # For each unit's piece: the windows that an earlier unit has.
-        gone = result[piece] < unit[owner][:, None]
-        column = np.arange(places + 1)
-        gone &= (column >= (places - lead)[:, None]) & (column <= (places - lead + size - length)[:, None])
-        told = np.flatnonzero(gone.any(axis=1))
-        told = told[np.argsort(owner[told], kind="stable")]
-        edges = np.flatnonzero(np.diff(owner[told])) + 1
-        starts, ends = np.concatenate([[0], edges]).astype(int), np.concatenate([edges, [len(told)]]).astype(int)
-        cut = [(told[s:e], int(owner[told[s]])) for s, e in zip(starts, ends, strict=True) if e > s]
+        size, lead, body = np.concatenate(sizes), np.concatenate(leads), np.concatenate(bodies)
+        del bodies
+        where = np.cumsum(size, dtype=np.int64) - size
+        order = np.lexsort((rank[owner], content, kind))
+        sorted_kind = kind[order]
+        edges = np.concatenate([[0], np.flatnonzero(sorted_kind[1:] != sorted_kind[:-1]) + 1, [len(order)]])
+        told: list[tuple[np.ndarray, np.ndarray]] = []
+        # Some thousand pieces at a time, an anchor's always together.
+        start = 0
+        while start < len(order):
+            end = int(edges[np.searchsorted(edges, min(start + BLOCK, len(order)))])
+            own = order[start:end]
+            told.append(_compared(own, kind, content, rank[owner[own]], size, lead, where, body, length))
+            start = end
+        own, bits_of = np.concatenate([o for o, _ in told]), np.concatenate([x for _, x in told])
+        sort = np.argsort(owner[own], kind="stable")
+        own, bits_of = own[sort], bits_of[sort]
+        cuts = np.flatnonzero(np.diff(owner[own])) + 1
+        parts = [(o, x) for o, x in zip(np.split(own, cuts), np.split(bits_of, cuts), strict=True) if len(o)]
         return pa.table({
-            "unit": pa.array([int(unit[o]) for _, o in cut], pa.int64()), "bucket": pa.array([0] * len(cut), pa.int32()),
-            "hashes": pa.array([content[own].tobytes() for own, _ in cut], pa.binary()),
-            "extra": pa.array([np.packbits(gone[own], axis=1).tobytes() for own, _ in cut], pa.binary()),
+            "unit": pa.array([int(unit[owner[o[0]]]) for o, _ in parts], pa.int64()), "bucket": pa.array([0] * len(parts), pa.int32()),
+            "hashes": pa.array([content[o].tobytes() for o, _ in parts], pa.binary()),
+            "extra": pa.array([x.tobytes() for _, x in parts], pa.binary()),
         })
 
     def erase(left: pa.Table, replies: pa.Table) -> pa.Table:
@@ -256,6 +247,34 @@ def remove_repeated_bytes(documents: DataFrame, length: int = 100) -> DataFrame:
     return units.with_replies(documents, plan, units.reply(collected, compare), erase, RESULT)
 
 
+def _compared(own: np.ndarray, kind: np.ndarray, content: np.ndarray, unit: np.ndarray, size: np.ndarray, lead: np.ndarray, where: np.ndarray, body: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of pieces sorted by anchor, content and unit: those with a window that an earlier unit has, and which windows."""
+    places = length - GRAM
+    kind, content, lead, size = kind[own], content[own], lead[own].astype(np.int64), size[own].astype(np.int64)
+    changed = np.ones(len(own), bool)
+    changed[1:] = kind[1:] != kind[:-1]
+    fresh = changed.copy()
+    fresh[1:] |= content[1:] != content[:-1]
+    piece, lone = np.cumsum(fresh) - 1, np.flatnonzero(fresh)
+    result = np.repeat(unit[lone][:, None], places + 1, axis=1)
+    # An anchor with one distinct piece has nothing to compare.
+    opens = np.flatnonzero(changed[lone])
+    members = np.diff(np.concatenate([opens, [len(lone)]]))
+    several = np.flatnonzero(np.repeat(members, members) > 1)
+    if len(several):
+        at = lone[several]
+        text = np.zeros((len(several), places + length), np.uint8)
+        low = places - lead[at]
+        for i, (source, start, n) in enumerate(zip(where[own[at]].tolist(), low.tolist(), size[at].tolist(), strict=True)):
+            text[i, start:start + n] = body[source:source + n]
+        result[several] = earliest(kind[at], unit[at], text, low, low + size[at], length)
+    column = np.arange(places + 1)
+    gone = result[piece] < unit[:, None]
+    gone &= (column >= (places - lead)[:, None]) & (column <= (places - lead + size - length)[:, None])
+    told = np.flatnonzero(gone.any(axis=1))
+    return own[told], np.packbits(gone[told], axis=1)
+
+
 def _again(data: np.ndarray, found: Pieces, length: int) -> np.ndarray:
     """Windows that the unit itself has before."""
     order = np.argsort(found.kind, kind="stable")
