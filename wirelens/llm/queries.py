@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import language_model, simhash, substrings, suffixes
+from . import language_model, mixing, sharding, simhash, substrings, suffixes
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -21,6 +21,16 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that a mix with weights 1, 2, 3 takes from every document."""
+    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shard and slot of every document, sixteen shards of nearly equal bytes."""
+    return sharding.shard(table(spark, sf_dir, "documents"))
+
+
 def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint of every document and the component of fingerprints within four bits."""
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
@@ -39,6 +49,8 @@ def op10_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, tuple[Query, str | None]] = {
     "op2_substring_dedup": (op2_substring_dedup, None),
+    "op5_mixing": (op5_mixing, None),
+    "op6_sharding": (op6_sharding, None),
     "op7_simhash_near_dedup": (op7_simhash_near_dedup, None),
     "op8_suffix_dedup": (op8_suffix_dedup, None),
     "op10_language_model": (op10_language_model, None),
