@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import language_model, mixing, sharding, simhash, substrings, suffixes
+from . import language_model, mixing, quality, sharding, simhash, substrings, suffixes
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -15,6 +15,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base counts of every document and whether it is kept by the log-likelihood ratio to labelled text."""
+    return quality.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score")
+
+
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of 20-word windows that start earlier elsewhere, removed from every document."""
     found = substrings.remove_repeats(table(spark, sf_dir, "documents"))
@@ -48,6 +54,7 @@ def op10_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, tuple[Query, str | None]] = {
+    "op1_quality_rules": (op1_quality_rules, None),
     "op2_substring_dedup": (op2_substring_dedup, None),
     "op5_mixing": (op5_mixing, None),
     "op6_sharding": (op6_sharding, None),
