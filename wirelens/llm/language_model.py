@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import sys
 import zlib
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -11,14 +12,14 @@ import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, functions as F
 
-from ..operators.materialize import materialize
 from . import arrays, units
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-WIDTH = 6
+# Bytes of a hash that travel beside the bits of its bucket: of single tokens, of longer n-grams.
+WIDTHS = (6, 5)
 END = np.uint64(0x5851F42D4C957F2D)
-REPLY = f"{units.REPLY}, tokens long, types long, once long, twice long"
+TOTALS = "tokens long, types long, once long, twice long"
 RESULT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
@@ -61,15 +62,15 @@ def grams(values: np.ndarray, first: np.ndarray, order: int) -> list[tuple[np.nd
     return out
 
 
-def _tally(values: np.ndarray, first: np.ndarray, learn: np.ndarray, order: int, mask: np.uint64) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct n-grams of a unit in order, whether each is a single token, how often it is learned; and where each n-gram is."""
-    found = grams(values, first, order)
-    keys, where, counts = np.unique(np.concatenate([h for _, h in found]) & mask, return_inverse=True, return_counts=True)
-    single = np.zeros(len(keys), bool)
-    single[where[: len(values)]] = True
-    if not learn.all():
-        counts = np.bincount(where, np.concatenate([learn[at] for at, _ in found]), len(keys)).astype(np.int64)
-    return keys, single, counts, where
+def _width(kind: int) -> int:
+    return WIDTHS[min(kind, 1)]
+
+
+def _tally(found: list[tuple[np.ndarray, np.ndarray]], learn: np.ndarray, bits: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For each length: distinct n-grams of a unit in order, how often each is learned, and which of them each n-gram is."""
+    for kind, (last, hashes) in enumerate(found):
+        keys, where, counts = np.unique(hashes & units.cut(bits, _width(kind)), return_inverse=True, return_counts=True)
+        yield keys, counts if learn.all() else np.bincount(where, learn[last], len(keys)).astype(np.int64), where
 
 
 def score_documents(documents: DataFrame, order: int = 2, concentration: float = 200.0, folds: int = 7, fold: int = 2) -> DataFrame:
@@ -94,76 +95,78 @@ def score_documents(documents: DataFrame, order: int = 2, concentration: float =
     ``fold``. Defined cases: null and empty text are just the end; a null ``doc_id``
     counts as empty text and is learned; repeated rows count each time; without any
     learned token every probability is 1; only ``doc_id`` and ``text`` are read; an
-    empty table gives no rows. n-grams are told apart by 48 bits and those of their
-    bucket. ``base_score`` is the add-one model of single tokens.
+    empty table gives no rows. Tokens are told apart by 48 bits beside those of their
+    bucket, longer n-grams by 40. ``base_score`` is the add-one model of single tokens.
     """
     if order < 1:
         raise ValueError("the order is one at least")
-    plan = units.layout(documents)
-    bits, mask = plan.bits, units.cut(plan.bits, WIDTH)
-
-    def counts(piece: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-        values, first = tokens(piece.column("text"))
-        learn = np.repeat(~held_out(piece.column("doc_id"), folds, fold), np.diff(first))
-        keys, single, count, _ = _tally(values, first, learn, order, mask)
-        return keys, (count.astype(np.uint32) << np.uint32(1)) | single
+    plan = units.layout(documents, least_units=192)
+    bits = plan.bits
+
+    def counts(longest: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for at, piece in units.by_unit(batches):
+                values, first = tokens(piece.column("text"))
+                learn = np.repeat(~held_out(piece.column("doc_id"), folds, fold), np.diff(first))
+                for kind, (keys, count, _) in enumerate(_tally(grams(values, first, longest), learn, bits)):
+                    yield units.requests(at, keys, count.astype(np.uint32), bits, _width(kind), kind)
+        return run
+
+    def merged(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        keys, row, own, first = units.met(table, _width(table.column("bucket")[0].as_py() >> bits), np.uint32)
+        return keys, row, own, np.add.reduceat(own.astype(np.int64), first), np.diff(np.concatenate([first, [len(keys)]]))
+
+    def sums(table: pa.Table) -> pa.Table:
+        total = merged(table)[3]
+        return pa.table({"tokens": [int(total.sum())], "types": [int((total > 0).sum())], "once": [int((total == 1).sum())], "twice": [int((total == 2).sum())]})
 
     def add(table: pa.Table) -> pa.Table:
-        keys, row, extra, first = units.met(table, WIDTH, np.uint32)
-        sizes = np.diff(np.concatenate([first, [len(keys)]]))
-        own = (extra >> np.uint32(1)).astype(np.int64)
-        total = np.add.reduceat(own, first)
-        single = np.bitwise_or.reduceat(extra & np.uint32(1), first) > 0
+        keys, row, own, total, sizes = merged(table)
         spread = np.repeat(total, sizes)
+        # A unit knows its own counts; it is told of those to which others add.
         shared = np.flatnonzero(spread != own)
-        out = units.answers(table, keys[shared], row[shared], spread[shared], WIDTH)
-        of = total[single]
-        summary = {"unit": [-1], "bucket": [0], "hashes": [b""], "extra": [b""], "tokens": [int(of.sum())], "types": [int((of > 0).sum())], "once": [int((of == 1).sum())], "twice": [int((of == 2).sum())]}
-        for name in ("tokens", "types", "once", "twice"):
-            out = out.append_column(name, pa.nulls(out.num_rows, pa.int64()))
-        return pa.concat_tables([out, pa.table(summary, schema=out.schema)])
-
-    sent = units.ask(documents, plan, counts, WIDTH)
-    replies = materialize(sent.groupBy("bucket").applyInArrow(add, REPLY))
-    row = replies.where("unit = -1").agg(*(F.sum(c).alias(c) for c in ("tokens", "types", "once", "twice"))).first()
-    totals = Totals(*(row[c] or 0 for c in ("tokens", "types", "once", "twice")))
-
-    def traverse(left: pa.Table, held: pa.Table) -> pa.Table:
+        return units.answers(table, keys[shared], row[shared], spread[shared], _width(table.column("bucket")[0].as_py() >> bits))
+
+    held = units.rows(documents, plan)
+    row = held.mapInArrow(counts(1), units.REQUEST).groupBy("bucket").applyInArrow(sums, TOTALS).agg(*(F.sum(c).alias(c) for c in Totals.__dataclass_fields__)).first()
+    totals = Totals(*(x or 0 for x in row))
+
+    def traverse(left: pa.Table, replies: pa.Table) -> pa.Table:
         texts = units.unpack(left)
         values, first = tokens(texts.column("text"))
         out = held_out(texts.column("doc_id"), folds, fold)
-        keys, _, count, where = _tally(values, first, np.repeat(~out, np.diff(first)), order, mask)
-        shared, total = units.answered(held, bits, WIDTH, np.int64)
-        hit = units.among(keys, shared)
-        count[hit] = total[np.searchsorted(shared, keys[hit])]
-        base, score, known = _probabilities(count[where], first, order, concentration, totals)
+        known = replies.column("bucket").to_numpy() >> bits
+        of_all = []
+        for kind, (keys, count, where) in enumerate(_tally(grams(values, first, order), np.repeat(~out, np.diff(first)), bits)):
+            shared, total = units.answered(replies.filter(pa.array(known == kind)), bits, _width(kind), np.int64)
+            hit = units.among(keys, shared)
+            count[hit] = total[np.searchsorted(shared, keys[hit])]
+            of_all.append(count[where])
+        base, score = _probabilities(of_all, first, concentration, totals)
         n = len(texts)
         add_up = (lambda x: np.add.reduceat(x, first[:-1])) if n else (lambda x: x[:0])
         return pa.table({
             "doc_id": texts.column("doc_id"), "held_out": pa.array(out), "n_tokens": pa.array(np.diff(first).astype(np.int64)),
-            "n_known": pa.array(add_up(known.astype(np.int64))), "train_tokens": pa.array(np.full(n, totals.tokens, np.int64)),
+            "n_known": pa.array(add_up((of_all[0] > 0).astype(np.int64))), "train_tokens": pa.array(np.full(n, totals.tokens, np.int64)),
             "base_score": pa.array(add_up(base)), "score": pa.array(add_up(score)),
         })
 
-    return units.with_replies(documents, plan, replies.where("unit >= 0").select("unit", "bucket", "hashes", "extra"), traverse, RESULT)
+    replies = units.reply(held.mapInArrow(counts(order), units.REQUEST), add)
+    return units.with_replies(documents, plan, replies, traverse, RESULT)
 
 
-def _probabilities(count: np.ndarray, first: np.ndarray, order: int, concentration: float, totals: Totals) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Add-one and model log10 probability of every token, and whether it is known; count: of all n-grams, shortest first."""
+def _probabilities(counts: list[np.ndarray], first: np.ndarray, concentration: float, totals: Totals) -> tuple[np.ndarray, np.ndarray]:
+    """Add-one and model log10 probability of every token; counts: of the n-grams of each length, by their starts."""
     n, room = int(first[-1]), arrays.room(first, int(first[-1]))
-    single = count[:n]
-    base = np.log10((single + 1) / (totals.tokens + totals.types + 1))
+    base = np.log10((counts[0] + 1) / (totals.tokens + totals.types + 1))
     if not totals.tokens:
-        return base, np.zeros(n), single > 0
+        return base, np.zeros(n)
     unseen = totals.discount * totals.types / totals.tokens
-    chance = np.where(single > 0, (single - totals.discount) / totals.tokens, unseen)
-    shorter, used = single, n
-    for length in range(2, order + 1):
-        starts = np.flatnonzero(room >= length)
-        own = count[used:used + len(starts)]
-        # The context of the n-gram at start s is the next shorter n-gram at s.
-        context = shorter[np.flatnonzero(np.isin(np.flatnonzero(room >= length - 1), starts, assume_unique=True))]
-        last = starts + length - 1
+    chance = np.where(counts[0] > 0, (counts[0] - totals.discount) / totals.tokens, unseen)
+    for length in range(2, len(counts) + 1):
+        own = counts[length - 1]
+        # The context of the n-gram at a start is the next shorter n-gram there.
+        context = counts[length - 2][room[room >= length - 1] >= length]
+        last = np.flatnonzero(room >= length) + length - 1
         chance[last] = np.where(context > 0, (own + concentration * chance[last]) / (context + concentration), chance[last])
-        shorter, used = own, used + len(starts)
-    return base, np.log10(chance), single > 0
+    return base, np.log10(chance)

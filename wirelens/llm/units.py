@@ -6,8 +6,8 @@ windows, cut by leading bits into buckets. A bucket meets what all units sent fo
 its hashes, and answers each unit. Within a unit a hash is sent once however often
 it occurs, so a passage that is in a third of all documents costs one entry a unit.
 
-Hashes travel as byte planes of sorted numbers: the leading planes are runs of
-equal bytes, which the shuffle's compression takes away.
+Sorted hashes travel as differences, byte plane by byte plane and compressed, so the
+bits that their order gives away cost nothing.
 """
 
 from __future__ import annotations
@@ -108,28 +108,38 @@ def unpack(pieces: pa.Table) -> pa.Table:
     return table.combine_chunks()
 
 
+def packed_bytes(body: bytes) -> bytes:
+    return len(body).to_bytes(8, "little") + pa.compress(body, "zstd", asbytes=True) if body else b""
+
+
+def unpacked_bytes(held: bytes) -> bytes:
+    return pa.decompress(held[8:], int.from_bytes(held[:8], "little"), "zstd", asbytes=True) if held else b""
+
+
 def planes(values: np.ndarray, width: int) -> bytes:
-    """The leading bytes of each number, first those of all numbers, then the next."""
-    return np.ascontiguousarray(values.astype(">u8").view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes()
+    """The leading bytes of sorted numbers, as differences: first bytes of all, then second ones, and so on."""
+    values = values >> np.uint64(64 - 8 * width)
+    steps = np.diff(values, prepend=np.uint64(0))
+    return packed_bytes(np.ascontiguousarray(steps.astype(">u8").view(np.uint8).reshape(-1, 8)[:, 8 - width:].T).tobytes())
 
 
 def unplanes(held: bytes, width: int) -> np.ndarray:
-    table = np.frombuffer(held, np.uint8).reshape(width, -1)
-    out = np.zeros((table.shape[1], 8), np.uint8)
-    out[:, :width] = table.T
-    return out.view(">u8").ravel().astype(np.uint64)
+    table = np.frombuffer(unpacked_bytes(held), np.uint8).reshape(width, -1)
+    steps = np.zeros((table.shape[1], 8), np.uint8)
+    steps[:, 8 - width:] = table.T
+    return np.cumsum(steps.view(">u8").ravel().astype(np.uint64), dtype=np.uint64) << np.uint64(64 - 8 * width)
 
 
-def requests(at: int, hashes: np.ndarray, extra: bytes | np.ndarray | None, bits: int, width: int) -> pa.RecordBatch:
-    """Sorted hashes of a unit, one row a bucket. extra: one fixed-size item a hash."""
+def requests(at: int, hashes: np.ndarray, extra: np.ndarray | None, bits: int, width: int, kind: int = 0) -> pa.RecordBatch:
+    """Sorted hashes of a unit, one row a bucket. extra: one item a hash. Each kind of hash has buckets of its own."""
     edges = np.searchsorted(hashes, np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(64 - bits))
     starts, ends = np.concatenate([[0], edges]), np.concatenate([edges, [len(hashes)]])
     full = np.flatnonzero(ends > starts)
     rest = hashes << np.uint64(bits)
     return pa.RecordBatch.from_arrays([
-        pa.array(full.astype(np.int32)), pa.array(np.full(len(full), at, np.int64)),
+        pa.array((full + (kind << bits)).astype(np.int32)), pa.array(np.full(len(full), at, np.int64)),
         pa.array([planes(rest[starts[b]:ends[b]], width) for b in full], pa.binary()),
-        pa.array([b"" if extra is None else extra[starts[b]:ends[b]].tobytes() for b in full], pa.binary()),
+        pa.array([b"" if extra is None else packed_bytes(extra[starts[b]:ends[b]].tobytes()) for b in full], pa.binary()),
     ], ["bucket", "unit", "hashes", "extra"])
 
 
@@ -137,14 +147,14 @@ def met(table: pa.Table, width: int, kind: np.dtype | None = None) -> tuple[np.n
     """All entries of a bucket in the order of their hash, then unit: hash, row, extra; and where each hash begins."""
     units = table.column("unit").to_numpy()
     order = np.argsort(units, kind="stable")
-    held = [unplanes(table.column("hashes")[int(i)].as_buffer(), width) for i in order]
+    held = [unplanes(table.column("hashes")[int(i)].as_py(), width) for i in order]
     keys = np.concatenate(held)
     row = np.repeat(order, [len(x) for x in held])
     sort = np.argsort(keys, kind="stable")
     keys, row = keys[sort], row[sort]
     extra = None
     if kind is not None:
-        extra = np.concatenate([np.frombuffer(table.column("extra")[int(i)].as_buffer(), kind) for i in order])[sort]
+        extra = np.concatenate([np.frombuffer(unpacked_bytes(table.column("extra")[int(i)].as_py()), kind) for i in order])[sort]
     first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
     return keys, row, extra, first
 
@@ -161,7 +171,7 @@ def answers(table: pa.Table, keys: np.ndarray, row: np.ndarray, extra: np.ndarra
     return pa.table({
         "unit": table.column("unit").take(pa.array(at, pa.int64())).cast(pa.int64()), "bucket": table.column("bucket").take(pa.array(at, pa.int64())).cast(pa.int32()),
         "hashes": pa.array([planes(keys[s:e], width) for s, e in full], pa.binary()),
-        "extra": pa.array([b"" if extra is None else extra[s:e].tobytes() for s, e in full], pa.binary()),
+        "extra": pa.array([b"" if extra is None else packed_bytes(extra[s:e].tobytes()) for s, e in full], pa.binary()),
     })
 
 
@@ -169,13 +179,13 @@ def answered(replies: pa.Table, bits: int, width: int, kind: np.dtype | None = N
     """The hashes that a unit got back, sorted and distinct, with their extras."""
     if not replies.num_rows:
         return np.zeros(0, np.uint64), None if kind is None else np.zeros(0, kind)
-    held = [unplanes(x.as_buffer(), width) for x in replies.column("hashes")]
-    tops = replies.column("bucket").to_numpy().astype(np.uint64) << np.uint64(64 - bits)
+    held = [unplanes(x.as_py(), width) for x in replies.column("hashes")]
+    tops = (replies.column("bucket").to_numpy() & ((1 << bits) - 1)).astype(np.uint64) << np.uint64(64 - bits)
     keys = np.concatenate([top | (x >> np.uint64(bits)) for top, x in zip(tops, held, strict=True)])
     keys, index = np.unique(keys, return_index=True)
     if kind is None:
         return keys, None
-    return keys, np.concatenate([np.frombuffer(x.as_buffer(), kind) for x in replies.column("extra")])[index]
+    return keys, np.concatenate([np.frombuffer(unpacked_bytes(x.as_py()), kind) for x in replies.column("extra")])[index]
 
 
 def cut(bits: int, width: int) -> np.uint64:
