@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import language_model, mixing, quality, sharding, simhash, substrings, suffixes
+from . import html, language_model, mixing, quality, sharding, simhash, substrings, suffixes
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -27,6 +27,11 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page, by the style tree of its site."""
+    return html.extract_text(table(spark, sf_dir, "pages"))
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that a mix with weights 1, 2, 3 takes from every document."""
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
@@ -56,6 +61,7 @@ def op10_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, tuple[Query, str | None]] = {
     "op1_quality_rules": (op1_quality_rules, None),
     "op2_substring_dedup": (op2_substring_dedup, None),
+    "op3_html_extraction": (op3_html_extraction, None),
     "op5_mixing": (op5_mixing, None),
     "op6_sharding": (op6_sharding, None),
     "op7_simhash_near_dedup": (op7_simhash_near_dedup, None),
