@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import html, language_model, mixing, quality, sharding, simhash, substrings, suffixes
+from . import decontaminate, html, language_model, mixing, quality, sharding, simhash, substrings, suffixes
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -53,6 +53,11 @@ def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document and benchmark item it holds, found in a latent space and checked word by word."""
+    return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op10_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's log10 probability under the n-gram automaton, six parts in seven of them learned from."""
     return language_model.score_documents(table(spark, sf_dir, "documents"))
@@ -66,5 +71,6 @@ QUERIES: dict[str, tuple[Query, str | None]] = {
     "op6_sharding": (op6_sharding, None),
     "op7_simhash_near_dedup": (op7_simhash_near_dedup, None),
     "op8_suffix_dedup": (op8_suffix_dedup, None),
+    "op9_benchmark_decontamination": (op9_benchmark_decontamination, None),
     "op10_language_model": (op10_language_model, None),
 }
