@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontaminate, html, language_model, mixing, quality, sharding, simhash, substrings, suffixes
+from . import decontaminate, html, language_model, licenses, mixing, quality, sharding, simhash, substrings, suffixes
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -32,6 +32,12 @@ def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract_text(table(spark, sf_dir, "pages"))
 
 
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licences that every document's sentences speak of."""
+    found = licenses.scan(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_sentences", F.array_join("sentence_ids", ",").alias("sentence_ids"), F.array_join("licenses", ",").alias("licenses"))
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that a mix with weights 1, 2, 3 takes from every document."""
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
@@ -67,6 +73,7 @@ QUERIES: dict[str, tuple[Query, str | None]] = {
     "op1_quality_rules": (op1_quality_rules, None),
     "op2_substring_dedup": (op2_substring_dedup, None),
     "op3_html_extraction": (op3_html_extraction, None),
+    "op4_license_scan": (op4_license_scan, licenses.answer()),
     "op5_mixing": (op5_mixing, None),
     "op6_sharding": (op6_sharding, None),
     "op7_simhash_near_dedup": (op7_simhash_near_dedup, None),
