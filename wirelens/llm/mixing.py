@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..operators.blocks import number_rows
 from ..operators.materialize import materialize
+from .rows import row_key, take_rows
 
 GAPS = r"[\x20\x09-\x0D]"
 # Documents folded by one group of the tree.
@@ -19,11 +20,6 @@ def word_count(text: str | Column) -> Column:
     return F.when(bare == "", 0).otherwise(F.size(F.split(bare, f"{GAPS}+"))).cast("long")
 
 
-def row_key(documents: DataFrame) -> Column:
-    """A number that tells rows of one doc_id apart: a hash of the row."""
-    return F.xxhash64(*(F.col(f"`{c}`") for c in documents.columns))
-
-
 def _uniform(*parts: Column) -> Column:
     """A number in [0, 1) that depends on its parts alone."""
     return F.pmod(F.xxhash64(*parts), F.lit(1 << 52)) / F.lit(float(1 << 52))
@@ -141,11 +137,4 @@ def repeat_documents(documents: DataFrame, mixed: DataFrame) -> DataFrame:
     Rows meet their copies by doc_id and row hash; of repeated rows each gets one of
     the numbers decided for them.
     """
-    own = [F.col(f"`{c}`") for c in documents.columns]
-    totals = mixed.groupBy(F.coalesce("doc_id", F.lit(0)).alias("_id"), F.col("row").alias("_key")).agg(F.sum("copies").alias("_copies"), F.count(F.lit(1)).alias("_rows"))
-    # Rows of one key are alike in every column, so any of them may take any of their copies.
-    alike = Window.partitionBy("_id", "_key").orderBy(F.lit(1))
-    held = documents.select(*own, F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("_id"), row_key(documents).alias("_key")).withColumn("_at", F.row_number().over(alike))
-    times = F.floor(F.col("_copies") / F.col("_rows")) + (F.col("_at") <= F.pmod("_copies", "_rows")).cast("long")
-    joined = held.join(totals, ["_id", "_key"]).withColumn("_times", times).where("_times > 0")
-    return joined.withColumn("_time", F.explode(F.sequence(F.lit(1), F.col("_times").cast("int")))).select(*own)
+    return take_rows(documents, mixed.groupBy("doc_id", "row").agg(F.sum("copies").alias("copies"), F.count(F.lit(1)).alias("rows")))

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import sys
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -17,7 +17,8 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 SYMBOLS = np.zeros(256, bool)
 SYMBOLS[list(b"#*$%&|<>")] = True
 PIECE = 2 << 20
-RESULT = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, score double"
+RESULT = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, score double, kept boolean"
+DEFAULTS = {"threshold": -0.15, "buckets": 1 << 16, "longest": 2, "least_words": 50, "most_repeated": 0.5, "max_trusted": 200_000}
 
 
 def _features(words: np.ndarray, first: np.ndarray, buckets: int, longest: int) -> tuple[np.ndarray, np.ndarray]:
@@ -114,8 +115,8 @@ def ratios(documents: DataFrame, trusted: DataFrame, buckets: int, longest: int)
 
 
 def score_documents(
-    documents: DataFrame, labels: DataFrame, threshold: float = -0.15, buckets: int = 1 << 16, longest: int = 2,
-    least_words: int = 50, most_repeated: float = 0.5, max_trusted: int = 200_000,
+    documents: DataFrame, labels: DataFrame, threshold: float = DEFAULTS["threshold"], buckets: int = DEFAULTS["buckets"], longest: int = DEFAULTS["longest"],
+    least_words: int = DEFAULTS["least_words"], most_repeated: float = DEFAULTS["most_repeated"], max_trusted: int = DEFAULTS["max_trusted"],
 ) -> DataFrame:
     """Base counts of every document, whether these fail, its score and whether it is kept.
 
@@ -135,20 +136,47 @@ def score_documents(
     ways is not trusted; only the named columns are read; an empty table gives no
     rows.
     """
-    held = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    weights = ratios(held, trusted_ids(labels, max_trusted), buckets, longest)
-    # A number a bucket, whatever the corpus.
-    shared = documents.sparkSession.sparkContext.broadcast(weights)
+    judge = _judge(documents, labels, threshold, buckets, longest, least_words, most_repeated, max_trusted)
+    names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "score", "kept"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for piece in arrays.slices(batch, "text", PIECE):
+                found = judge(piece.column(1))
+                yield pa.RecordBatch.from_arrays([piece.column(0), *(pa.array(found[c]) for c in names)], ["doc_id", *names])
+
+    return _texts(documents).mapInArrow(run, RESULT)
+
+
+def keep_documents(documents: DataFrame, labels: DataFrame, **rules: float) -> DataFrame:
+    """The documents that ``score_documents`` keeps, all columns as they are."""
+    judge, at = _judge(documents, labels, **(DEFAULTS | rules)), documents.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in arrays.slices(batch, "text", PIECE):
-                base = base_statistics(piece.column(1))
-                found, owner = _features(*_lowered(piece.column(1)), buckets, longest)
-                n = np.bincount(owner, minlength=piece.num_rows)
-                score = np.bincount(owner, shared.value[found].astype(np.float64), piece.num_rows) / np.maximum(n, 1)
-                failed = (base["n_words"] < least_words) | (base["n_repeat_words"] > most_repeated * base["n_words"])
-                yield pa.RecordBatch.from_arrays([piece.column(0), *(pa.array(base[c]) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")), pa.array(failed), pa.array(score)],
-                                                 ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "score"])
-
-    return held.mapInArrow(run, RESULT).withColumn("kept", ~F.col("base_failed") & (F.col("score") >= threshold))
+                yield piece.filter(pa.array(judge(piece.column(at))["kept"], pa.bool_()))
+
+    return documents.mapInArrow(run, documents.schema)
+
+
+def _texts(documents: DataFrame) -> DataFrame:
+    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+
+
+def _judge(documents: DataFrame, labels: DataFrame, threshold: float, buckets: int, longest: int, least_words: int, most_repeated: float, max_trusted: int) -> Callable[[pa.Array], dict[str, np.ndarray]]:
+    """The verdict on a column of texts, by ratios counted over all documents."""
+    weights = ratios(_texts(documents), trusted_ids(labels, max_trusted), buckets, longest)
+    # A number a bucket, whatever the corpus.
+    shared = documents.sparkSession.sparkContext.broadcast(weights)
+
+    def judge(column: pa.Array) -> dict[str, np.ndarray]:
+        out = base_statistics(column)
+        found, owner = _features(*_lowered(column), buckets, longest)
+        n = np.bincount(owner, minlength=len(column))
+        out["score"] = np.bincount(owner, shared.value[found].astype(np.float64), len(column)) / np.maximum(n, 1)
+        out["base_failed"] = (out["n_words"] < least_words) | (out["n_repeat_words"] > most_repeated * out["n_words"])
+        out["kept"] = ~out["base_failed"] & (out["score"] >= threshold)
+        return out
+
+    return judge

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import decontaminate, html, language_model, licenses, mixing, quality, sharding, simhash, substrings, suffixes
@@ -80,4 +81,5 @@ QUERIES: dict[str, tuple[Query, str | None]] = {
     "op8_suffix_dedup": (op8_suffix_dedup, None),
     "op9_benchmark_decontamination": (op9_benchmark_decontamination, None),
     "op10_language_model": (op10_language_model, None),
+    "pipeline": (corpus_pipeline.run, corpus_pipeline.ORACLE_SQL),
 }

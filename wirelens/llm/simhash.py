@@ -13,7 +13,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, functions as F
 
 from ..operators.materialize import materialize
-from . import arrays
+from .rows import row_key, take_rows
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -46,16 +46,16 @@ def majority(hashes: np.ndarray) -> int:
 
 
 def fingerprints(documents: DataFrame, shingle: int = 4) -> DataFrame:
-    """doc_id and fp (the fingerprint's bits as a signed long) of every row, whole texts."""
+    """doc_id, row (hash of the row) and fp (the fingerprint's bits as a signed long) of every row, whole texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(1).cast(pa.binary())
+            texts = batch.column(2).cast(pa.binary())
             found = np.array([fingerprint(x.as_py() or b"", shingle) for x in texts], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64), pa.int64())], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found.view(np.int64), pa.int64())], ["doc_id", "row", "fp"])
 
-    held = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return held.mapInArrow(run, "doc_id long, fp long")
+    held = documents.select(F.col("doc_id").cast("long").alias("doc_id"), row_key(documents).alias("row"), F.col("text").cast("string").alias("text"))
+    return held.mapInArrow(run, "doc_id long, row long, fp long")
 
 
 def _parts(errors: int) -> list[tuple[int, ...]]:
@@ -275,10 +275,26 @@ def near_duplicates(documents: DataFrame, shingle: int = 4, errors: int = 4) ->
     repeated results; only ``doc_id`` and ``text`` are read; an empty table gives
     no rows.
     """
+    return _grouped(documents, shingle, errors).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def _grouped(documents: DataFrame, shingle: int, errors: int) -> DataFrame:
+    """doc_id, row, fp, root (the component's name among fingerprints) and component_id of every row."""
     found = materialize(fingerprints(documents, shingle))
     nodes = found.groupBy("fp").agg(F.min("doc_id").alias("least"))
     joined = components(links(nodes.select("fp"), errors))
     rooted = nodes.join(joined, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     names = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = rooted.join(names, "root").select(F.col("fp").alias("node"), "component_id")
-    return found.join(named, F.col("fp") == F.col("node")).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    named = rooted.join(names, "root").select(F.col("fp").alias("node"), "root", "component_id")
+    return found.join(named, F.col("fp") == F.col("node")).select("doc_id", "row", "fp", "root", "component_id")
+
+
+def keep_one(documents: DataFrame, shingle: int = 4, errors: int = 4) -> DataFrame:
+    """One document of each component of ``near_duplicates``, all columns as they are: that of the smallest doc_id.
+
+    Rows without an id stand for a component only if it has no other; of rows with one
+    id the one with the smaller hash stays, and of repeated rows one.
+    """
+    rows = _grouped(documents, shingle, errors).groupBy("root", "doc_id", "row").agg(F.count(F.lit(1)).alias("rows"))
+    best = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row", "rows")).alias("best"))
+    return take_rows(documents, best.select("best.doc_id", "best.row", F.lit(1).cast("long").alias("copies"), "best.rows"))
