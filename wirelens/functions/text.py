@@ -175,24 +175,34 @@ def format_ms(ms: Column) -> Column:
     )
 
 
+def _part(us: Column, unit: int, most: int) -> Column:
+    """Hours, minutes or seconds of a UTC time of day, as two digits."""
+    return F.lpad(F.pmod(F.floor((us - F.pmod(us, F.lit(unit))) / F.lit(unit)), F.lit(most)).cast("string"), 2, "0")
+
+
+def utc_date(us: Column) -> Column:
+    day = F.lit(86_400_000_000)
+    return F.date_add(F.lit("1970-01-01").cast("date"), ((us - F.pmod(us, day)) / day).cast("int")).cast("string")
+
+
+def clock_time(us: Column) -> Column:
+    """Time of day in UTC, whatever zone the session is in."""
+    return F.concat_ws(":", _part(us, 3_600_000_000, 24), _part(us, 60_000_000, 60), _part(us, 1_000_000, 60))
+
+
 def iso_time(us: Column) -> Column:
     """ISO text in UTC; the fraction is left out where it is zero."""
-    at = F.timestamp_micros(us)
-    whole = F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss")
     fraction = F.pmod(us, F.lit(1_000_000))
     return F.concat(
-        whole,
+        utc_date(us), F.lit("T"), clock_time(us),
         F.when(fraction == 0, F.lit("")).otherwise(F.concat(F.lit("."), F.lpad(fraction.cast("string"), 6, "0"))),
         F.lit("+00:00"),
     )
 
 
-def clock_time(us: Column) -> Column:
-    return F.date_format(F.timestamp_micros(us), "HH:mm:ss")
-
-
 def clock_time_ms(us: Column) -> Column:
-    return F.date_format(F.timestamp_micros(us), "HH:mm:ss.SSS")
+    thousandths = F.pmod(F.floor((us - F.pmod(us, F.lit(1000))) / F.lit(1000)), F.lit(1000))
+    return F.concat(clock_time(us), F.lit("."), F.lpad(thousandths.cast("string"), 3, "0"))
 
 
 def duration_seconds(token: Column) -> Column:

@@ -1,4 +1,4 @@
-"""Decoding of wire message payloads, in built-in expressions only.
+"""Decoding of wire message payloads: built-in expressions, and Arrow functions for lists of items of their own lengths.
 
 Payloads are byte strings. Offsets into them are byte offsets, kept zero-based
 as in the message layouts; ``_bytes`` turns them into Spark's one-based ones.
@@ -6,9 +6,18 @@ as in the message layouts; ``_bytes`` turns them into Spark's one-based ones.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Callable
 
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, functions as F
+from pyspark.sql.types import ArrayType, BinaryType, StringType
+
+from . import text
+
+# Task functions travel with the job, so executors need not have this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 # Parameter type ids and the wire epoch (2000-01-01, Unix microseconds).
 BOOL, BYTEA, INT8, INT2, INT4, OID, TIMESTAMP, TIMESTAMPTZ, UUID = 16, 17, 20, 21, 23, 26, 1114, 1184, 2950
@@ -79,29 +88,61 @@ def _numbers(payload: Column, offset: Column, count: Column, width: int, signed:
         s["n"] > 0, F.transform(F.sequence(s["at"], s["at"] + (s["n"] - 1) * width, F.lit(width)), read)).otherwise(none))
 
 
-def _walk(payload: Column, offset: Column, count: Column, kind: str, item: Callable[[Column], Column]) -> Column:
-    """A list whose items have their own lengths: the offset is carried along.
+def _read_fields(payload: bytes, at: int) -> list[bytes | None]:
+    """A count, then byte strings with their length before them; length -1 is null.
 
-    ``item`` gives a struct of ``value`` and ``next`` for an offset.
+    Each item starts where the one before it ends, so the list is read once from
+    front to back. Where a payload ends too early, what is missing is null.
     """
-    none = F.array().cast(f"array<{kind}>")
-
-    def step(state: Column, _i: Column) -> Column:
-        return _let(item(state["at"]), lambda got: F.struct(
-            got["next"].cast("int").alias("at"), F.concat(state["out"], F.array(got["value"])).alias("out")))
-
-    start = F.struct(offset.cast("int").alias("at"), none.alias("out"))
-    return F.when(count > 0, F.aggregate(F.sequence(F.lit(1), count), start, step, lambda s: s["out"])).otherwise(none)
-
-
-def _fields(payload: Column, offset: Column, count: Column) -> Column:
-    """Length-prefixed byte strings; length -1 is null."""
-    def item(at: Column) -> Column:
-        return _let(F.struct(at.alias("at"), int32(payload, at).alias("size")), lambda s: F.struct(
-            F.when(s["size"] >= 0, _bytes(payload, s["at"] + 4, s["size"])).alias("value"),
-            (s["at"] + 4 + F.greatest(s["size"], F.lit(0))).alias("next")))
-
-    return _walk(payload, offset, count, "binary", item)
+    out: list[bytes | None] = []
+    count, at = int.from_bytes(payload[at:at + 2], "big"), at + 2
+    for _ in range(count):
+        head = payload[at:at + 4]
+        size = int.from_bytes(head, "big", signed=len(head) == 4) if head else -1
+        at += 4
+        out.append(payload[at:at + size] if size >= 0 else None)
+        at += max(size, 0)
+    return out
+
+
+@F.arrow_udf(ArrayType(BinaryType()))
+def _cells_of(payloads: pa.Array) -> pa.Array:
+    """Fields of a batch of data rows."""
+    return pa.array([None if x is None else _read_fields(x, 0) for x in payloads.to_pylist()], pa.list_(pa.binary()))
+
+
+@F.arrow_udf(ArrayType(BinaryType()))
+def _params_of(payloads: pa.Array) -> pa.Array:
+    """Parameters of a batch of binds: behind two names and the format codes."""
+    out = []
+    for payload in payloads.to_pylist():
+        if payload is None:
+            out.append(None)
+            continue
+        at = 0
+        for _ in range(2):
+            end = payload.find(b"\0", at)
+            at = (len(payload) if end < 0 else end) + 1
+        out.append(_read_fields(payload, at + 2 + 2 * int.from_bytes(payload[at:at + 2], "big")))
+    return pa.array(out, pa.list_(pa.binary()))
+
+
+@F.arrow_udf(ArrayType(StringType()))
+def _names_of(payloads: pa.Array) -> pa.Array:
+    """Names of a batch of row descriptions: each ends with NUL and has 18 bytes of detail."""
+    out = []
+    for payload in payloads.to_pylist():
+        if payload is None:
+            out.append(None)
+            continue
+        row, at = [], 2
+        for _ in range(int.from_bytes(payload[:2], "big")):
+            end = payload.find(b"\0", at)
+            end = max(at, len(payload)) if end < 0 else end
+            row.append(payload[at:end].decode("utf-8", "replace"))
+            at = end + 19
+        out.append(row)
+    return pa.array(out, pa.list_(pa.string()))
 
 
 def decode_query(payload: Column) -> Column:
@@ -130,29 +171,21 @@ def decode_describe(payload: Column) -> Column:
 
 
 def decode_bind(payload: Column) -> Column:
-    def rest(head: Column) -> Column:
-        params_at = head["at"] + 2 + head["codes"] * 2
-        return F.struct(
-            utf8(head["a"]).alias("portal"), utf8(head["b"]).alias("statement_name"),
-            _numbers(payload, head["at"] + 2, head["codes"], 2, signed=True).alias("format_codes"),
-            _fields(payload, params_at + 2, uint16(payload, params_at)).alias("params"),
-        )
-
-    return _let(_let(_two_names(payload), lambda h: F.struct(
-        h["a"].alias("a"), h["b"].alias("b"), h["at"].alias("at"), uint16(payload, h["at"]).alias("codes"))), rest)
+    head = _let(_let(_two_names(payload), lambda h: F.struct(
+        h["a"].alias("a"), h["b"].alias("b"), h["at"].alias("at"), uint16(payload, h["at"]).alias("codes"))), lambda head: F.struct(
+        utf8(head["a"]).alias("portal"), utf8(head["b"]).alias("statement_name"),
+        _numbers(payload, head["at"] + 2, head["codes"], 2, signed=True).alias("format_codes")))
+    return F.struct(head["portal"].alias("portal"), head["statement_name"].alias("statement_name"),
+                    head["format_codes"].alias("format_codes"), _params_of(payload).alias("params"))
 
 
 def decode_row_description(payload: Column) -> Column:
     """Column names; each is followed by 18 bytes of type detail."""
-    def item(at: Column) -> Column:
-        return _let(F.struct(at.alias("at"), _until_nul(payload, at).alias("name")), lambda s: F.struct(
-            utf8(s["name"]).alias("value"), (s["at"] + F.octet_length(s["name"]) + 19).alias("next")))
-
-    return _walk(payload, F.lit(2), uint16(payload, 0), "string", item)
+    return _names_of(payload)
 
 
 def decode_data_row(payload: Column) -> Column:
-    return _fields(payload, F.lit(2), uint16(payload, 0))
+    return _cells_of(payload)
 
 
 def decode_param_description(payload: Column) -> Column:
@@ -189,10 +222,7 @@ def is_binary_param(codes: Column, index: Column) -> Column:
 def pg_timestamp(us: Column) -> Column:
     """Wire microseconds as ISO text in UTC."""
     unix = us + F.lit(WIRE_EPOCH_US)
-    rest = F.pmod(unix, F.lit(1_000_000))
-    whole = F.date_format(F.timestamp_micros(unix), "yyyy-MM-dd'T'HH:mm:ss")
-    return F.concat(whole, F.when(rest == 0, F.lit("")).otherwise(
-        F.concat(F.lit("."), F.lpad(rest.cast("string"), 6, "0"))), F.lit("+00:00"))
+    return text.iso_time(unix)
 
 
 def _uuid(raw: Column) -> Column:

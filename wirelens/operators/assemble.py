@@ -272,10 +272,13 @@ def attach_responses(scanned: DataFrame, options: Options) -> DataFrame:
 
 
 def apply_limits(events: DataFrame, options: Options) -> DataFrame:
-    return events.withColumns({
-        "query": text.truncate_text(F.col("query"), options.max_query_chars),
-        "args": F.transform("args", lambda a: text.truncate_text(a, options.max_arg_chars)),
-    })
+    """Cut query and argument texts where the options ask for it."""
+    out = events
+    if options.max_query_chars is not None:
+        out = out.withColumn("query", text.truncate_text(F.col("query"), options.max_query_chars))
+    if options.max_arg_chars is not None:
+        out = out.withColumn("args", F.transform("args", lambda a: text.truncate_text(a, options.max_arg_chars)))
+    return out
 
 
 def assign_sequence(events: DataFrame, *order: str) -> DataFrame:

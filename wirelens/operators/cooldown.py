@@ -33,9 +33,6 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 FAN = 64
 LEVELS = 3
 
-# Keys of up to this many match times are walked as they are.
-WALKED_WHOLE = 1_000_000
-
 
 def _whole_groups(frames: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFrame]:
     """Re-cut sorted batches so that no group is split between two of them."""
@@ -126,19 +123,15 @@ def _block(column: str, length: int):
 
 
 def fired(matches: DataFrame, keys: list[str], at: str, sequence: str, cooldown_us: int,
-          fan: int = FAN, levels: int | None = None) -> DataFrame:
+          fan: int = FAN, levels: int = LEVELS) -> DataFrame:
     """Sequences of the matches that fire an alert (with their keys and times).
 
-    ``levels`` of blocks are put between the matches and the walk per key: none
-    while the largest key is small, ``LEVELS`` otherwise.
+    ``levels`` of blocks are put between the matches and the walk per key.
     """
     if cooldown_us <= 0:
         return matches.select(*keys, F.col(at).alias("at"), F.col(sequence).alias("seq"))
     # Of matches at the same time only the first can fire.
     base = materialize(matches.groupBy(*keys, F.col(at).alias("at")).agg(F.min(sequence).alias("seq")))
-    if levels is None:
-        largest = base.groupBy(*keys).count().agg(F.max("count")).head()[0] or 0
-        levels = 0 if largest <= WALKED_WHOLE else LEVELS
     kinds = {f.name: f.dataType.simpleString() for f in base.schema}
     head = ", ".join(f"`{k}` {kinds[k]}" for k in keys)
     item = f"{head}, at bigint, seq bigint, until bigint"

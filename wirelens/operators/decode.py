@@ -35,7 +35,8 @@ def _kind() -> Column:
 def decode_frames(frames: DataFrame) -> DataFrame:
     """One row per message that matters, with the fields of its kind.
 
-    Each decoder sits behind its kind in a CASE, so a row pays for its own only.
+    Each decoder sits behind its kind in a CASE, so a row pays for its own only; the
+    Arrow functions get the payloads of their own kind and null for the others.
     """
     body = F.col("payload")
 
@@ -45,8 +46,8 @@ def decode_frames(frames: DataFrame) -> DataFrame:
     decoded = frames.withColumn("kind", _kind()).where(F.col("kind").isNotNull()).withColumns({
         "_parse": only("Parse", wire.decode_parse(body)),
         "_describe": only("Describe", wire.decode_describe(body)),
-        "_bind": only("Bind", wire.decode_bind(body)),
-        "cells_raw": only("DataRow", wire.decode_data_row(body)),
+        "_bind": only("Bind", wire.decode_bind(only("Bind", body))),
+        "cells_raw": wire.decode_data_row(only("DataRow", body)),
     })
     # Of Describes only those of a statement count.
     kept = decoded.where((F.col("kind") != "Describe") | (F.col("_describe.object") == "S"))
@@ -58,7 +59,7 @@ def decode_frames(frames: DataFrame) -> DataFrame:
         F.col("_bind.format_codes").alias("format_codes"), F.col("_bind.params").alias("params"),
         only("Complete", wire.decode_command_tag(body)).alias("tag"),
         only("Error", wire.decode_error(body)).alias("error"),
-        only("RowDesc", wire.decode_row_description(body)).alias("columns"),
+        wire.decode_row_description(only("RowDesc", body)).alias("columns"),
         F.transform("cells_raw", wire.cell_text).alias("cells"),
         F.aggregate("cells_raw", F.lit(0).cast("bigint"),
                     lambda n, c: n + F.coalesce(F.octet_length(c), F.lit(0))).alias("cell_bytes"),

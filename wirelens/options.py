@@ -2,28 +2,21 @@
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 
-# Duration units in seconds.
-UNIT_SECONDS = {"us": 1e-6, "µs": 1e-6, "ms": 1e-3, "s": 1.0, "m": 60.0}
-
-_DURATION = re.compile(r"(\d+(?:\.\d+)?)(us|µs|ms|s|m)", re.IGNORECASE)
-
-
-def parse_duration(value: str | int | float) -> float:
-    """Seconds for ``250ms``, ``1.5s``, ``2m``; plain numbers are seconds already."""
-    if isinstance(value, (int, float)):
-        return float(value)
-    found = _DURATION.fullmatch(value.strip())
-    if found is None:
-        raise ValueError(f"invalid duration: {value}")
-    return float(found.group(1)) * UNIT_SECONDS[found.group(2).lower()]
+# Duration units, as parts of a second or seconds.
+UNIT_PARTS = {"us": 1_000_000.0, "µs": 1_000_000.0, "ms": 1000.0}
+UNIT_SECONDS = {"s": 1.0, "m": 60.0}
 
 
 @dataclass(frozen=True)
 class Options:
-    """Thresholds and limits; the defaults are the usual capture settings."""
+    """Thresholds and limits; the numbers are fixed values, the usual capture settings.
+
+    Limits that would lose rows or text are off: requests open at once on a
+    connection, and the length of queries and arguments. Who sets them gets what
+    they say, templates and signatures included.
+    """
 
     slow_ms: float = 100.0
     nplus1_threshold: int = 5
@@ -31,12 +24,12 @@ class Options:
     nplus1_cooldown_s: float = 10.0
 
     max_frame_bytes: int = 32 * 1024 * 1024
-    max_pending: int = 1024
+    max_pending: int | None = None
     max_events: int = 1000
     max_notices: int = 20
 
-    max_query_chars: int = 20000
-    max_arg_chars: int = 1000
+    max_query_chars: int | None = None
+    max_arg_chars: int | None = None
     max_cell_chars: int = 200
     max_preview_rows: int = 5
     max_preview_bytes: int = 8192

@@ -99,7 +99,6 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def _from_events(spark: SparkSession, folder: str, sql: str) -> DataFrame:
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
     return spark.sql(sql.replace("from events", "from {events}"), events=table(spark, folder, "events"))
 
 

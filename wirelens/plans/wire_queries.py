@@ -26,7 +26,6 @@ def over(name: str, answer: str | None, make: Callable[[DataFrame], DataFrame],
 # --- payloads built from orders ------------------------------------------------------------
 
 def _orders(spark: SparkSession, folder: str) -> DataFrame:
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
     return table(spark, folder, "orders").select(
         F.col("o_orderkey").alias("key"), F.col("o_custkey").alias("customer"), F.col("o_orderpriority").alias("word"),
         F.unix_micros(F.col("o_orderdate").cast("timestamp")).alias("date_us"), F.col("o_totalprice").alias("price"))
@@ -327,7 +326,7 @@ def _md5(c: Column) -> Column:
 
 
 over("asm17_field_limits", f"select doc_id, md5({O.truncate('text', 20000)}) as query, md5({O.truncate('text', 1000)}) as arg, md5({O.truncate('text', 200)}) as cell from documents",
-     lambda d: assemble.apply_limits(d.select("doc_id", "text", F.col("text").alias("query"), F.array("text").alias("args")), Options()).select(
+     lambda d: assemble.apply_limits(d.select("doc_id", "text", F.col("text").alias("query"), F.array("text").alias("args")), Options(max_query_chars=20000, max_arg_chars=1000)).select(
          "doc_id", _md5(F.col("query")).alias("query"), _md5(F.get("args", F.lit(0))).alias("arg"),
          _md5(text.truncate_text(F.col("text"), 200)).alias("cell")), _documents)
 

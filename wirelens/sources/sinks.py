@@ -56,11 +56,12 @@ def write_jsonl(events: DataFrame, path: str, profile: str = "default", response
 
 
 def write_json_document(events: DataFrame, path: str, profile: str = "default", response: str = "none",
-                        filter_line: str = "", shard_rows: int = 65536) -> None:
+                        filter_line: str = "", shard_rows: int = 1024) -> None:
     """Records inside a JSON document with its header.
 
-    A result of up to ``shard_rows`` sequence numbers is one document; a longer
-    one becomes several, each with the same header and its part of ``queries``.
+    Always a folder of documents, one for every ``shard_rows`` sequence numbers,
+    each with the same header and its part of ``queries``: no document grows with
+    the result.
     """
     kept = blocks.with_block(visible(events, filter_line=filter_line), "sequence", shard_rows)
     captured = kept.groupBy().agg(F.count(F.lit(1)).alias("n"))
@@ -84,8 +85,10 @@ def event_lines(events: DataFrame, response: str = "none") -> DataFrame:
     return events.select("sequence", line.alias("line"))
 
 
-def print_events(events: DataFrame, filter_line: str = "", response: str = "none", rows: int = 20) -> None:
-    event_lines(visible(events, filter_line=filter_line), response).orderBy("sequence").show(rows, truncate=False)
+def print_events(events: DataFrame, filter_line: str = "", response: str = "none") -> None:
+    """Print every event in the order of its sequence; the driver holds a partition at a time."""
+    for row in event_lines(visible(events, filter_line=filter_line), response).orderBy("sequence").toLocalIterator():
+        print(row["line"])
 
 
 # --- summary report ------------------------------------------------------------------
@@ -171,7 +174,7 @@ def report_struct(report: Report) -> DataFrame:
 
 def summary_report(events: DataFrame, top: int = 10, filter_line: str = "", generated_at: Column | None = None) -> DataFrame:
     """Report as one JSON text."""
-    at = F.concat(F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.lit("+00:00"))
+    at = text.iso_time(F.unix_micros(F.current_timestamp()))
     row = report_struct(Report(events, top, filter_line))
     return row.select(F.to_json(F.struct((at if generated_at is None else generated_at).alias("generated_at"), *row.columns)).alias("value"))
 
@@ -204,7 +207,7 @@ def _table_line(columns: list[str]) -> Callable[[Column, Column], Column]:
 def report_markdown(events: DataFrame, top: int = 10, filter_line: str = "", title: str = "Summary report",
                     generated_at: Column | None = None) -> DataFrame:
     """Report as numbered Markdown lines; its size is bounded by ``top``."""
-    at = F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss") if generated_at is None else generated_at
+    at = F.substring(text.iso_time(F.unix_micros(F.current_timestamp())), 1, 19) if generated_at is None else generated_at
     row = report_struct(Report(events, top, filter_line))
     shown_filter = F.when(F.col("filter") != "", F.col("filter")).otherwise("(none)")
     figures = ["events", "errors", "slow", "n_plus_1", "total_duration_ms", "total_rows", "total_response_bytes"]
@@ -299,9 +302,10 @@ def jsonl_sink(path: str, profile: str = "default", response: str = "none", filt
     return write
 
 
-def console_sink(filter_line: str = "", response: str = "none", rows: int = 20) -> Sink:
+def console_sink(filter_line: str = "", response: str = "none") -> Sink:
+    """Prints every event of every batch."""
     def write(batch: DataFrame, batch_id: int) -> None:
-        print_events(batch, filter_line, response, rows)
+        print_events(batch, filter_line, response)
 
     return write
 
