@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from ..functions.filters import compile_filter
 from ..operators.materialize import materialize, new_path
 from ..sources import readers, sinks
-from ..streaming import stateful, streams
+from ..streaming import settled, streams
 from . import oracle as O
 from .event_queries import _QUERY_STATS, _SNAPSHOT, _TOTALS, _ANALYTICS, Query
 from .fixtures import TRACE, messages, trace, trace_tx
@@ -262,11 +262,18 @@ def _str1(spark: SparkSession, folder: str) -> DataFrame:
     return _read(spark, out)
 
 
+def _settled(spark: SparkSession, rows: DataFrame, at: str, make) -> settled.Tables:
+    """Run a stream through a settling step to its end."""
+    tables = settled.Tables(spark, new_path(spark, "settled"))
+    sink = settled.Settling(tables, at, 2 * DAY_US, make(tables))
+    last = streams.run_available(rows, new_path(spark, "progress"), sink)
+    sink.finish(last, rows.schema)
+    return tables
+
+
 def _nplus1(spark: SparkSession, folder: str) -> DataFrame:
-    stateful.use_rocksdb(spark)
-    rows = _in_parts(spark, trace_tx(spark, folder), "started_us", "sequence")
-    out, _ = _run(spark, stateful.stream_nplus1(rows, TRACE, LATE))
-    return _read(spark, out)
+    rows = settled.NPlusOne.rows(_in_parts(spark, trace_tx(spark, folder), "started_us", "sequence"), TRACE)
+    return _settled(spark, rows, "started_us", lambda tables: settled.NPlusOne(tables, TRACE)).all("hits")
 
 
 @add("str2_nplus1", O.events("select sequence, n_plus_1_scope, normalized_query, n_plus_1_hits, n_plus_1_distinct_args, n_plus_1 from ev where candidate"))
@@ -279,33 +286,28 @@ def _str2_alerts(spark: SparkSession, folder: str) -> DataFrame:
     return _nplus1(spark, folder).where("alert").select("sequence", "n_plus_1_scope", "normalized_query")
 
 
-def _assembled(spark: SparkSession, folder: str) -> DataFrame:
-    stateful.use_rocksdb(spark)
-    rows = _in_parts(spark, messages(spark, folder), "captured_us", "frame_no")
-    out, _ = _run(spark, stateful.stream_assemble(rows, TRACE, LATE, 40 * DAY_US))
-    return _read(spark, out)
+def _assembled(spark: SparkSession, rows: DataFrame, idle_us: int) -> DataFrame:
+    stream = _in_parts(spark, rows, "captured_us", "frame_no")
+    return _settled(spark, stream, "captured_us", lambda tables: settled.Assembly(tables, TRACE, idle_us)).all("events")
 
 
 # Unfinished requests stay in the state while their connection is not idle.
 @add("str3_assembly", O.assembly("select connection_id || '-' || rank as event_id, frame_no, query, arg as args, error, status_tag, rows_affected, "
                                  "(completed_us - captured_us) / 1000.0 as duration_ms from paired where completed"))
 def _str3(spark: SparkSession, folder: str) -> DataFrame:
-    return _assembled(spark, folder).select(
+    return _assembled(spark, messages(spark, folder), 40 * DAY_US).select(
         "event_id", "frame_no", "query", F.array_join("args", "|").alias("args"), "error", "status_tag", "rows_affected", "duration_ms")
 
 
 @add("str4_idle_flush", O.assembly("select connection_id || '-' || rank as event_id, query, error, status_tag from paired where not completed"))
 def _str4(spark: SparkSession, folder: str) -> DataFrame:
     """Connections are closed after three silent days; a late marker row moves time on."""
-    stateful.use_rocksdb(spark)
     rows = messages(spark, folder)
     marker = rows.orderBy(F.desc("frame_no")).limit(1).select(*[
         (F.lit("marker") if c == "connection_id" else F.lit("Ready") if c == "kind" else F.col(c) + 10 * DAY_US if c == "captured_us" else F.col(c)).alias(c)
         for c in rows.columns])
-    again = marker.withColumns({"captured_us": F.col("captured_us") + 10 * DAY_US})
-    stream = _in_parts(spark, rows.unionByName(marker).unionByName(again), "captured_us", "frame_no")
-    out, _ = _run(spark, stateful.stream_assemble(stream, TRACE, LATE, 3 * DAY_US))
-    return _read(spark, out).where("status_tag = 'DISCONNECTED'").select("event_id", "query", "error", "status_tag")
+    found = _assembled(spark, rows.unionByName(marker), 3 * DAY_US)
+    return found.where("status_tag = 'DISCONNECTED'").select("event_id", "query", "error", "status_tag")
 
 
 _STATS = (f"select normalized_query as query, count(*) as count, cast(sum(cast(round(duration_ms * 1000) as bigint)) as bigint) as total_us, max(duration_ms) as max_duration_ms, "
