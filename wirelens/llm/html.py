@@ -18,7 +18,7 @@ from ..operators.materialize import materialize
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>?|<\?[^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>?|<", re.S)
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>?|<\?[^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)>?|<", re.S)
 ATTRIBUTE = re.compile(r"([a-zA-Z_:][-\w:.]*)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
 # Elements of HTML, by what they mean for text (fixed values).
 RAW = frozenset("script style noscript template textarea title iframe svg math canvas object select".split())
