@@ -8,18 +8,22 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _SETTING = "spark.checkpoint.dir"
+_own: dict[str, str] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a new one only where none is named."""
+    """The folder named by ``spark.checkpoint.dir``; a new one only in local mode where none is named.
+
+    The session's settings stay as they are: a folder of this module's own is
+    remembered for the application.
+    """
     context = spark.sparkContext
     named = spark.conf.get(_SETTING, None) or context.getConf().get(_SETTING) or context.getCheckpointDir()
     if named is None:
         if not context.master.startswith("local"):
             raise ValueError(f"set {_SETTING} to a folder every executor can reach")
-        named = tempfile.mkdtemp(prefix="wirelens-")
-    if spark.conf.get(_SETTING, None) is None:
-        spark.conf.set(_SETTING, named)
+        named = _own.setdefault(context.applicationId, "") or tempfile.mkdtemp(prefix="wirelens-")
+        _own[context.applicationId] = named
     return named
 
 

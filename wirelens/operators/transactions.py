@@ -56,7 +56,6 @@ def _count(flag: Column) -> Column:
 
 def _measures() -> dict[str, Column]:
     return {
-        "connection_id": F.min("connection_id"),
         "started_us": F.min("started_us"),
         "finished_us": F.max(end_us()),
         "rows_affected": F.sum("rows_affected"),
@@ -71,9 +70,10 @@ def _measures() -> dict[str, Column]:
 def tx_measures(events: DataFrame) -> DataFrame:
     """Figures per transaction; combined on the map side, so a long transaction is no burden.
 
-    A transaction belongs to one connection, so any of its rows names it.
+    A transaction belongs to one connection, so both are the key and every figure is
+    a number: the aggregate hashes and never sorts the events.
     """
-    grouped = events.where(F.col("tx_id") != "").groupBy("tx_id").agg(*[c.alias(n) for n, c in _measures().items()])
+    grouped = events.where(F.col("tx_id") != "").groupBy("tx_id", "connection_id").agg(*[c.alias(n) for n, c in _measures().items()])
     return grouped.withColumn("duration_ms", F.greatest((F.col("finished_us") - F.col("started_us")) / 1000.0, F.lit(0.0)))
 
 

@@ -185,16 +185,25 @@ def _export_analytics(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.schema(schema).json(f"{_export(spark, folder)}/analytics")
 
 
-@add("snk9_export_markdown", O.events(
+_MARKDOWN_ROWS = (
     "select row_number() over (order by sequence) as index, '| ' || row_number() over (order by sequence) || ' | ' || "
     "strftime(make_timestamp(started_us), '%H:%M:%S') || '.' || lpad((started_us // 1000 % 1000)::varchar, 3, '0') || ' | ' || operation || ' | ' "
     f"|| {O.format_ms('duration_ms')} || ' | ' || response_total_rows || ' rows / ' || response_total_bytes || ' B | ' "
-    f"|| replace({O.compact('query', 200)}, '|', '\\|') || ' | ' || array_to_string(args, ', ') || ' | ' || error || ' |' as value from ev where slow"))
+    f"|| replace({O.compact('query', 200)}, '|', '\\|') || ' | ' || array_to_string(args, ', ') || ' | ' || error || ' |' as value from ev where slow")
+
+
+@add("snk9_export_markdown", O.events(_MARKDOWN_ROWS))
 def _markdown_rows(spark: SparkSession, folder: str) -> DataFrame:
     return sinks.markdown_rows(trace(spark, folder), filter_line="slow")
 
 
-@add("snk9_export_markdown_file")
+_HEAD = ["# Export", "", None, "- Search: (none)", "- Filter: slow", "", "## Queries", "", "| # | Time | Op | Duration | Resp | Query | Args | Error |",
+         "|---|------|----|----------|------|-------|------|-------|"]
+
+
+@add("snk9_export_markdown_file", O.events(
+    " union all ".join("select '- Captured: ' || (select count(*) from ev where slow) as value" if x is None else f"select '{x}' as value" for x in _HEAD)
+    + " union all select value from (" + _MARKDOWN_ROWS + ")"))
 def _export_markdown(spark: SparkSession, folder: str) -> DataFrame:
     path = new_path(spark, "markdown")
     sinks.export_markdown(trace(spark, folder), path, filter_line="slow")
@@ -225,12 +234,10 @@ LATE = "2 days"
 
 
 def _in_parts(spark: SparkSession, rows: DataFrame, at: str, order: str, days: int = 5) -> DataFrame:
-    """A stream that reads one file after the other, each with the rows of some days."""
+    """A stream that reads files of some days each, in no particular order of time."""
     path = new_path(spark, "parts")
-    part = F.floor(F.col(at) / (days * DAY_US)).alias("part")
-    kept = materialize(rows)
-    for row in kept.select(part).distinct().orderBy("part").collect():
-        kept.where(part == row["part"]).repartition(1).sortWithinPartitions(order).write.parquet(f"{path}/part={row['part']:06d}")
+    placed = rows.withColumn("part", F.floor(F.col(at) / (days * DAY_US)))
+    placed.repartition("part").sortWithinPartitions("part", order).write.partitionBy("part").parquet(path)
     return readers.stream_events(spark, f"{path}/*", rows.schema)
 
 
@@ -344,13 +351,16 @@ def _str8(spark: SparkSession, folder: str) -> DataFrame:
     return streams.latest(spark, out, ["window_start_us", "window_end_us"])
 
 
-@add("str9_sessions")
+# Sessions that the watermark has closed.
+@add("str9_sessions", O.events(f"""select connection_id, min(started_us) as session_start_us, max(started_us) + 7200000000 as session_end_us, count(*) as events from (
+    select *, sum(fresh) over (partition by connection_id order by started_us, sequence) as session from (
+        select connection_id, sequence, started_us, case when started_us - lag(started_us) over (partition by connection_id order by started_us, sequence) < 7200000000 then 0 else 1 end as fresh from ev))
+    group by connection_id, session having max(started_us) + 7200000000 < (select max(started_us) // 1000 * 1000 from ev) - {2 * 86_400_000_000}"""))
 def _str9(spark: SparkSession, folder: str) -> DataFrame:
     out, _ = _run(spark, streams.stream_sessions(_event_stream(spark, folder), LATE, "2 hours"))
     return _read(spark, out)
 
 
-@add("snk12_fan_out")
 def _fan_out(spark: SparkSession, folder: str) -> DataFrame:
     """Every batch goes to two sinks with different filters; shown is what each one holds."""
     slow, failed = new_path(spark, "slow"), new_path(spark, "failed")
