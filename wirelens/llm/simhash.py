@@ -19,6 +19,8 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 SEED = 42
 BITS = 64
+# Parts into which the nodes of a component are dealt when they learn its name.
+PARTS = 32
 # Node pairs that a task expands at a time.
 FRONT = 1 << 18
 
@@ -285,7 +287,9 @@ def _grouped(documents: DataFrame, shingle: int, errors: int) -> DataFrame:
     joined = components(links(nodes.select("fp"), errors))
     rooted = nodes.join(joined, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     names = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = rooted.join(names, "root").select(F.col("fp").alias("node"), "root", "component_id")
+    # One component may hold a large share of all nodes: its name goes to each of its parts.
+    spread = names.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+    named = rooted.withColumn("part", F.pmod(F.xxhash64("fp"), F.lit(PARTS)).cast("int")).join(spread, ["root", "part"]).select(F.col("fp").alias("node"), "root", "component_id")
     return found.join(named, F.col("fp") == F.col("node")).select("doc_id", "row", "fp", "root", "component_id")
 
 
