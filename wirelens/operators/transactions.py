@@ -37,7 +37,7 @@ def assign_transactions(df: DataFrame, order: str = "sequence", block_rows: int
     )
     last_code = F.greatest(F.max("_code").over(blocks.before(keys, order)), F.col("_c_code"))
     number = F.coalesce(F.col("_c_begin"), F.lit(0)) + F.sum("_begin").over(blocks.within(keys, order))
-    inside = (F.col("_begin") == 1) | F.coalesce(last_code % 2 == 1, F.lit(False))
+    inside = (F.col("_begin") == 1) | F.coalesce(F.pmod(last_code, F.lit(2)) == 1, F.lit(False))
     assigned = carried.withColumns({
         "tx_id": F.when(inside, F.concat_ws(":", "connection_id", number.cast("string"))).otherwise(""),
     })
