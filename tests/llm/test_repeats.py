@@ -42,8 +42,9 @@ def test_words(spark, documents, awkward, window):
         assert all(r.n_removed == sum(s.stop - s.start for s in r.removed) for r in found)
 
 
-@pytest.mark.parametrize("length", [100, 40])
-def test_bytes(spark, documents, awkward, length):
+@pytest.mark.parametrize("length, hot", [(100, 128), (40, 0)])
+def test_bytes(spark, documents, awkward, monkeypatch, length, hot):
+    monkeypatch.setattr(suffixes, "HOT", hot)
     rows = [*awkward, (20, "ab" * 300), (21, "ab" * 80), (22, "x" * 250)]
     for rows in (rows, fuzz(length)):
         found = suffixes.remove_repeated_bytes(documents(rows), length).collect()

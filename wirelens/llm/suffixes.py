@@ -7,6 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 
@@ -17,6 +18,8 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 GRAM = 32  # bytes of an anchor
 PLACES = np.uint64((1 << 24) - 1)
 PROBE = 6
+# An anchor that more units have than this is compared window by window.
+HOT = 128
 # Pieces compared at a time, apart from those of one anchor.
 BLOCK = 8192
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, removed array<struct<start: long, stop: long>>"
@@ -56,18 +59,11 @@ def pieces(data: np.ndarray, offsets: np.ndarray, length: int) -> Pieces:
     least = _least(grams & ~PLACES | places, span) & PLACES
     starts = np.arange(len(least))
     anchor = starts + ((least - places[: len(least)]) & PLACES).astype(np.int64)
-    whole = np.zeros(n + 1, bool)
-    ends = offsets[1:] - length + 1
-    for_docs = ends > offsets[:-1]
-    steps = np.zeros(n + 1, np.int32)
-    steps[offsets[:-1][for_docs]] += 1
-    np.add.at(steps, ends[for_docs], -1)
-    whole = np.cumsum(steps)[: len(least)] > 0
+    whole = _inside(offsets, length, len(least))
     opens = whole.copy()
     opens[1:] &= ~whole[:-1] | (anchor[1:] != anchor[:-1])
     # Two texts may follow each other without a gap between their windows.
-    edge = offsets[:-1][for_docs]
-    opens[edge] = True
+    opens[offsets[:-1][offsets[1:] - offsets[:-1] >= length]] = True
     first = np.flatnonzero(opens)
     closes = whole.copy()
     closes[:-1] &= ~whole[1:] | opens[1:]
@@ -149,6 +145,9 @@ def remove_repeated_bytes(documents: DataFrame, length: int = 100) -> DataFrame:
        round, with the transform's order and the common prefixes taken from round to
        round. Windows with ``length`` symbols in common learn the first unit that
        has them.
+       An anchor in more than ``HOT`` units may have any number of different
+       surroundings; its windows are exchanged by their hashes instead, so no task
+       gathers them.
     3. Each unit removes the windows that an earlier unit has, or that it has itself
        before.
 
@@ -163,7 +162,7 @@ def remove_repeated_bytes(documents: DataFrame, length: int = 100) -> DataFrame:
         raise ValueError(f"a window is longer than {GRAM} bytes")
     plan = units.layout(documents)
     bits, places = plan.bits, length - GRAM
-    columns = places + length
+    hot_units = HOT
     mask = units.cut(bits, PROBE)
 
     def probes(piece: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
@@ -176,19 +175,28 @@ def remove_repeated_bytes(documents: DataFrame, length: int = 100) -> DataFrame:
         keys, row, many, first = units.met(table, PROBE, np.uint8)
         sizes = np.diff(np.concatenate([first, [len(keys)]]))
         chosen = np.repeat((sizes > 1) | (np.maximum.reduceat(many, first) > 0), sizes)
-        return units.answers(table, keys[chosen], row[chosen], None, PROBE)
+        hot = np.repeat(sizes > hot_units, sizes).astype(np.uint8)
+        return units.answers(table, keys[chosen], row[chosen], hot[chosen], PROBE)
 
     def gather(left: pa.Table, replies: pa.Table) -> pa.Table:
-        live, _ = units.answered(replies, bits, PROBE)
+        live, hot = units.answered(replies, bits, PROBE, np.uint8)
         texts = units.unpack(left)
         at = int(left.column("unit")[0].as_py()) if left.num_rows else 0
         data, offsets = arrays.text_bytes(texts.column("text"))
         found = pieces(data, offsets, length)
-        chosen = np.flatnonzero(units.among(found.kind & mask, live))
+        is_hot = units.among(found.kind & mask, live[hot > 0])
+        chosen = np.flatnonzero(units.among(found.kind & mask, live) & ~is_hot)
         _, once = np.unique(found.content[chosen], return_index=True)
-        return pa.Table.from_batches([_send(at, data, found, chosen[once], length, bits)])
+        windows = np.unique(_window_hashes(data, length)[_windows(found, np.flatnonzero(is_hot))])
+        return pa.Table.from_batches([_send(at, data, found, chosen[once], length, bits), units.requests(at, windows, None, bits, 8, kind=1)])
 
     def compare(table: pa.Table) -> pa.Table:
+        if table.column("bucket")[0].as_py() >> bits:
+            # Windows of hot anchors: all units but the first that has one are told.
+            keys, row, _, first = units.met(table, 8)
+            later = np.ones(len(keys), bool)
+            later[first] = False
+            return units.answers(table, keys[later], row[later], None, 8)
         unit = table.column("unit").to_numpy()
         rank = np.unique(unit, return_inverse=True)[1].astype(np.int32)
         kinds, contents, owners, sizes, leads, bodies = [], [], [], [], [], []
@@ -230,6 +238,9 @@ def remove_repeated_bytes(documents: DataFrame, length: int = 100) -> DataFrame:
         data, offsets = arrays.text_bytes(texts.column("text"))
         found = pieces(data, offsets, length)
         wide = -(-(places + 1) // 8)
+        by_window = pa.array(replies.column("bucket").to_numpy() >> bits > 0)
+        earlier, _ = units.answered(replies.filter(by_window), bits, 8)
+        replies = replies.filter(pc.invert(by_window))
         contents = np.concatenate([np.frombuffer(x.as_buffer(), np.uint64) for x in replies.column("hashes")]) if replies.num_rows else np.zeros(0, np.uint64)
         flags = np.concatenate([np.frombuffer(x.as_buffer(), np.uint8).reshape(-1, wide) for x in replies.column("extra")]) if replies.num_rows else np.zeros((0, wide), np.uint8)
         sort = np.argsort(contents, kind="stable")
@@ -238,7 +249,8 @@ def remove_repeated_bytes(documents: DataFrame, length: int = 100) -> DataFrame:
         marks = np.unpackbits(flags[np.searchsorted(contents, found.content[hit])], axis=1)[:, : places + 1] > 0
         line, column = np.nonzero(marks)
         gone = found.anchor[hit][line] - places + column
-        gone = np.concatenate([gone, _again(data, found, length)])
+        hashes = _window_hashes(data, length)
+        gone = np.concatenate([gone, _again(hashes, found), np.flatnonzero(units.among(hashes, earlier) & _inside(offsets, length, len(hashes)))])
         flags_of = arrays.covered(np.unique(gone), length, len(data))
         return _result(texts, data, offsets, flags_of)
 
@@ -275,22 +287,40 @@ def _compared(own: np.ndarray, kind: np.ndarray, content: np.ndarray, unit: np.n
     return own[told], np.packbits(gone[told], axis=1)
 
 
-def _again(data: np.ndarray, found: Pieces, length: int) -> np.ndarray:
+def _window_hashes(data: np.ndarray, length: int) -> np.ndarray:
+    return arrays.windows_hash(arrays.prefix_sums(data.astype(np.uint64) + np.uint64(1)), length)
+
+
+def _windows(found: Pieces, own: np.ndarray) -> np.ndarray:
+    """Starts of all windows of some pieces."""
+    sizes = found.last[own] - found.first[own] + 1
+    return np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes) + np.repeat(found.first[own], sizes)
+
+
+def _inside(offsets: np.ndarray, length: int, n: int) -> np.ndarray:
+    """Which of n windows lie in one text."""
+    steps = np.zeros(n + 1, np.int32)
+    ends = offsets[1:] - length + 1
+    whole = ends > offsets[:-1]
+    np.add.at(steps, offsets[:-1][whole], 1)
+    np.add.at(steps, ends[whole], -1)
+    return np.cumsum(steps[:n]) > 0
+
+
+def _again(hashes: np.ndarray, found: Pieces) -> np.ndarray:
     """Windows that the unit itself has before."""
     order = np.argsort(found.kind, kind="stable")
     kind = found.kind[order]
     same = np.zeros(len(kind), bool)
     same[1:] = kind[1:] == kind[:-1]
     same[:-1] |= same[1:]
-    own = np.sort(order[same])
-    if not len(own):
+    starts = _windows(found, np.sort(order[same]))
+    if not len(starts):
         return np.zeros(0, np.int64)
-    sizes = found.last[own] - found.first[own] + 1
-    starts = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes) + np.repeat(found.first[own], sizes)
-    hashes = arrays.windows_hash(arrays.prefix_sums(data.astype(np.uint64) + np.uint64(1)), length)[starts]
-    sort = np.argsort(hashes, kind="stable")
+    own = hashes[starts]
+    sort = np.argsort(own, kind="stable")
     later = np.zeros(len(starts), bool)
-    later[sort[1:]] = hashes[sort[1:]] == hashes[sort[:-1]]
+    later[sort[1:]] = own[sort[1:]] == own[sort[:-1]]
     return starts[later]
 
 
