@@ -23,3 +23,12 @@ def awkward():
         (1, None, None), (2, "", "a"), (3, " \t\n ", "a"), (4, passage, "b"), (5, f"before {passage} after", "b"), (5, f"before {passage} after", "b"),
         (None, f"no id {passage}", "c"), (None, None, None), (6, "é ü 漢字   x#y *** a\nb\na\nb", "c"), (7, long, "b"), (8, long + " end", "a"), (9, "one", "a"),
     ]
+
+
+@pytest.fixture
+def small_units(monkeypatch):
+    """Units of a few hundred bytes, so that even small tables have many."""
+    from wirelens.llm import units
+
+    plan = units.layout
+    monkeypatch.setattr(units, "layout", lambda documents, **kind: plan(documents, **(kind | {"unit_bytes": 400, "bucket_bytes": 300})))

@@ -52,7 +52,7 @@ def test_ratio_separates(spark, documents):
 
 
 @pytest.mark.parametrize("order", [1, 2, 3])
-def test_language_model(spark, documents, awkward, order):
+def test_language_model(spark, documents, awkward, small_units, order):
     rows = [*awkward, *((30 + i, "The cat sat. the CAT ran " * (i % 3) + f"x{i}") for i in range(30))]
     held = {r[0]: zlib.crc32(b"" if r[0] is None else str(r[0]).encode()) % 7 == 2 for r in rows}
     lines = [(r[0], [*(r[1] or "").encode().lower().split(), 0]) for r in rows]

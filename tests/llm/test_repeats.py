@@ -34,7 +34,7 @@ def fuzz(seed):
 
 
 @pytest.mark.parametrize("window", [20, 5])
-def test_words(spark, documents, awkward, window):
+def test_words(spark, documents, awkward, small_units, window):
     for rows in (awkward, fuzz(window)):
         found = substrings.remove_repeats(documents(rows), window).collect()
         got = sorted(((r.doc_id, r.n_words, r.n_removed, hashlib.sha256(r.kept.encode()).hexdigest()) for r in found), key=repr)
@@ -43,7 +43,7 @@ def test_words(spark, documents, awkward, window):
 
 
 @pytest.mark.parametrize("length, hot", [(100, 128), (40, 0)])
-def test_bytes(spark, documents, awkward, monkeypatch, length, hot):
+def test_bytes(spark, documents, awkward, small_units, monkeypatch, length, hot):
     monkeypatch.setattr(suffixes, "HOT", hot)
     rows = [*awkward, (20, "ab" * 300), (21, "ab" * 80), (22, "x" * 250)]
     for rows in (rows, fuzz(length)):
