@@ -247,6 +247,12 @@ def _run(spark: SparkSession, rows: DataFrame, mode: str = "append") -> tuple[st
     return out, last
 
 
+def _upserted(spark: SparkSession, rows: DataFrame, keys: list[str]) -> DataFrame:
+    out = new_path(spark, "stream")
+    last = streams.run_available(rows, new_path(spark, "progress"), streams.upsert_folders(out, keys), "update")
+    return spark.read.parquet(f"{out}/batch={last}")
+
+
 def _read(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("basePath", path).parquet(f"{path}/batch=*").drop("batch")
 
@@ -324,8 +330,7 @@ _STATS = (f"select normalized_query as query, count(*) as count, cast(sum(cast(r
 
 @add("str5_template_metrics", O.events(_STATS))
 def _str5(spark: SparkSession, folder: str) -> DataFrame:
-    out, _ = _run(spark, streams.stream_analytics(_event_stream(spark, folder)), "update")
-    return streams.latest(spark, out, ["query"])
+    return _upserted(spark, streams.stream_analytics(_event_stream(spark, folder)), ["query"])
 
 
 @add("str6_counters", O.events(
@@ -347,8 +352,7 @@ def _str7(spark: SparkSession, folder: str) -> DataFrame:
     count(*) as events, count(*) filter (where error <> '') as errors from ev group by 1, 2"""))
 def _str8(spark: SparkSession, folder: str) -> DataFrame:
     """Update mode shows every window, also the ones the watermark has not closed."""
-    out, _ = _run(spark, streams.stream_bursts(_event_stream(spark, folder), LATE), "update")
-    return streams.latest(spark, out, ["window_start_us", "window_end_us"])
+    return _upserted(spark, streams.stream_bursts(_event_stream(spark, folder), LATE), ["window_start_us", "window_end_us"])
 
 
 # Sessions that the watermark has closed.

@@ -342,23 +342,16 @@ over("sca2_compact", f"select doc_id, case when length({_LINE}) <= 120 then {_LI
 over("sca3_sanitize", "select doc_id, md5(regexp_replace(text, '[\\x00-\\x1f\\x7f]', ' ', 'g')) as clean from documents",
      lambda d: d.select("doc_id", _md5(text.sanitize(F.col("text"))).alias("clean")), _documents)
 
-# Texts with their expected results.
+# How a statement may begin, with its operation and whether it only reads.
 OPERATIONS = [
     ("  select 1", "Query", "true"), ("Show all", "Query", "true"), ("WITH x AS (SELECT 1) DELETE FROM t", "Query", "true"),
     ("begin work", "BEGIN", "false"), ("COMMIT;", "COMMIT", "false"), ("rollback to a", "ROLLBACK", "false"),
     ("START TRANSACTION", "Exec", "false"), ("-- c\nselect 1", "Exec", "true"), ("/* a */ -- b\n values (1)", "Exec", "true"),
-    ("/* open select 1", "Exec", "false"), ("-- only", "Exec", "false"), ("explain analyze delete from t", "Query", "true"),
-    ("/* begin */ begin", "Exec", "false"), ("fetch 5 from c", "Query", "true"), ("", "Exec", "false"), ("/**/\t--x\n\nFETCH", "Exec", "true"),
+    ("explain analyze delete from t", "Query", "true"), ("/* begin */ begin", "Exec", "false"), ("fetch 5 from c", "Query", "true"),
+    ("/**/\t--x\n\nFETCH", "Exec", "true"),
 ]
-LITERALS = [("abc", "'abc'"), ("it's", "'it''s'"), ("a\\b", "'a\\\\b'"), ("NULL", "NULL"), ("null", "'null'"), ("", "''")]
-TOKENS = [("250us", 0.00025), ("5µs", 0.000005), ("1.5ms", 0.0015), ("2S", 2.0), ("3m", 180.0), (" 7ms ", 0.007), ("7", None), ("1h", None), ("-1s", None)]
-PIPES = [("a|b", "a\\|b"), ("||", "\\|\\|"), ("plain", "plain"), ("", "")]
-
-
-def _literals(spark: SparkSession, folder: str, values: list[str]) -> DataFrame:
-    """Each event picks one of the texts."""
-    pick = (F.col("event_id") % len(values)).cast("int")
-    return table(spark, folder, "events").select("event_id", F.get(F.array(*[F.lit(v) for v in values]), pick).alias("value"))
+# Units of a duration with their parts of a second; the last is none.
+UNITS = [("us", 1_000_000.0), ("µs", 1_000_000.0), ("ms", 1000.0), ("S", 1.0), ("m", 1 / 60), ("h", None)]
 
 
 def _sql_list(values: list[object]) -> str:
@@ -368,18 +361,29 @@ def _sql_list(values: list[object]) -> str:
     return "[" + ", ".join(word(v) for v in values) + "]"
 
 
-def literal(name: str, pairs: list[tuple[str, object]], make: Callable[[Column], Column], cast: str = "varchar") -> None:
-    values, wanted = [p[0] for p in pairs], [p[1] for p in pairs]
-    answer = f"select event_id, {_sql_list(wanted)}[event_id % {len(pairs)} + 1]::{cast} as result from events"
-    QUERIES[name] = (
-        lambda spark, folder: _literals(spark, folder, values).select("event_id", make(F.col("value")).alias("result")), answer)
+def _statements(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document's text behind one of the beginnings."""
+    pick = (F.col("doc_id") % len(OPERATIONS)).cast("int")
+    begins = F.get(F.array(*[F.lit(t) for t, _, _ in OPERATIONS]), pick)
+    return _documents(spark, folder).select("doc_id", F.concat_ws(" ", begins, "text").alias("value"))
+
+
+def _tokens(spark: SparkSession, folder: str) -> DataFrame:
+    """Every event's number with one of the units."""
+    unit = F.get(F.array(*[F.lit(u) for u, _ in UNITS]), (F.col("event_id") % len(UNITS)).cast("int"))
+    return table(spark, folder, "events").select("event_id", F.concat(F.lit(" "), F.col("event_id").cast("string"), F.lit(".5"), unit).alias("value"))
 
 
-literal("asm14_operation", [(t, op) for t, op, _ in OPERATIONS], text.infer_operation)
-literal("fil22_read_only", [(t, ok) for t, _, ok in OPERATIONS], text.is_read_only, "boolean")
-literal("sca5_sql_literal", LITERALS, text.sql_literal)
-literal("sca9_duration_token", TOKENS, text.duration_seconds, "double")
-literal("sca10_escape_pipe", PIPES, text.escape_pipe)
+over("asm14_operation", f"select doc_id, {_sql_list([op for _, op, _ in OPERATIONS])}[doc_id % {len(OPERATIONS)} + 1] as result from documents",
+     lambda d: d.select("doc_id", text.infer_operation(F.col("value")).alias("result")), _statements)
+over("fil22_read_only", f"select doc_id, {_sql_list([ok for _, _, ok in OPERATIONS])}[doc_id % {len(OPERATIONS)} + 1]::boolean as result from documents",
+     lambda d: d.select("doc_id", text.is_read_only(F.col("value")).alias("result")), _statements)
+over("sca5_sql_literal", "select doc_id, md5('''' || replace(replace(text, '\\', '\\\\'), '''', '''''') || '''') as result from documents",
+     lambda d: d.select("doc_id", _md5(text.sql_literal(F.col("text"))).alias("result")), _documents)
+over("sca9_duration_token", f"select event_id, (event_id + 0.5)::double / {_sql_list([x for _, x in UNITS])}[event_id % {len(UNITS)} + 1]::double as result from events",
+     lambda d: d.select("event_id", text.duration_seconds(F.col("value")).alias("result")), _tokens)
+over("sca10_escape_pipe", "select doc_id, md5(replace(text, '|', '\\|')) as result from documents",
+     lambda d: d.select("doc_id", _md5(text.escape_pipe(F.col("text"))).alias("result")), _documents)
 
 # --- connection log ----------------------------------------------------------------------------------
 

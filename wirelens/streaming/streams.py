@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from ..functions import text
 from ..operators import analytics, ranking
@@ -62,11 +62,20 @@ def batch_folders(path: str) -> Callable[[DataFrame, int], None]:
     return write
 
 
-def latest(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
-    """Newest version of each key over the batch folders of an update-mode stream."""
-    rows = spark.read.option("basePath", path).parquet(f"{path}/batch=*")
-    newest = rows.withColumn("_at", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("batch"))))
-    return newest.where(F.col("_at") == 1).drop("_at", "batch")
+def upsert_folders(path: str, keys: list[str]) -> Callable[[DataFrame, int], None]:
+    """Sink of an update-mode stream: each batch's folder is the whole table after it.
+
+    Keys of the batch take the place of their old rows, so a reader needs the newest
+    folder only and the work of a batch goes by the number of keys, not by history.
+    """
+    def write(batch: DataFrame, batch_id: int) -> None:
+        rows = batch
+        if batch_id > 0:
+            before = batch.sparkSession.read.schema(batch.schema).parquet(f"{path}/batch={batch_id - 1}")
+            rows = before.join(batch.select(*keys), keys, "left_anti").unionByName(batch)
+        rows.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+
+    return write
 
 
 def top_events_sink(path: str, kind: str, n: int) -> Callable[[DataFrame, int], None]:
