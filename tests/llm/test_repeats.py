@@ -3,9 +3,10 @@
 import hashlib
 import random
 
+import numpy as np
 import pytest
 
-from wirelens.llm import substrings, suffixes
+from wirelens.llm import substrings, suffixes, units
 
 
 def ordered(rows):
@@ -53,6 +54,22 @@ def test_bytes(spark, documents, awkward, small_units, monkeypatch, length, hot)
         assert all(r.n_spans == len(r.removed) for r in found)
 
 
+def test_layout_of_distant_ids():
+    """Ids far from the others get units of their own; the order of units is the order of ids."""
+    plan = units.Layout((-5, 10, 1000), (8, 495, 3_000_000_000_000), 2, 7, 5)
+    ids = np.array([-5, 2, 3, 9, 10, 504, 505, 999, 1000, 2_000_000, 6_000_000_000_000])
+    assert plan.number(ids).tolist() == [0, 0, 1, 1, 2, 2, 3, 3, 4, 4, 5]
+
+
+def test_distant_ids(spark, documents, small_units):
+    rows = [(r[0] if r[0] < 38 else r[0] * 10**15, r[1]) for r in fuzz(9)] + [(-(10**17), "t1 t2 " * 30)]
+    found = substrings.remove_repeats(documents(rows)).collect()
+    got = sorted(((r.doc_id, r.n_words, r.n_removed, hashlib.sha256(r.kept.encode()).hexdigest()) for r in found), key=repr)
+    assert got == brute(rows, 20, lambda t: t.encode().split(), lambda kept: b" ".join(kept))
+    plan = units.layout(documents([(i, "x" * 100) for i in range(300)] + [(10**15, "x" * 100)]))
+    assert np.bincount(np.unique(plan.number(np.arange(300)), return_inverse=True)[1]).max() <= 100
+
+
 def test_empty(spark, documents):
     assert substrings.remove_repeats(documents([])).count() == 0
     assert suffixes.remove_repeated_bytes(documents([])).count() == 0

@@ -105,7 +105,7 @@ def score_documents(documents: DataFrame, order: int = 2, concentration: float =
 
     def counts(longest: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for at, piece in units.by_unit(batches):
+            for at, piece in units.by_unit(batches, plan):
                 values, first = tokens(piece.column("text"))
                 learn = np.repeat(~held_out(piece.column("doc_id"), folds, fold), np.diff(first))
                 for kind, (keys, count, _) in enumerate(_tally(grams(values, first, longest), learn, bits)):

@@ -19,7 +19,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from . import arrays
 
@@ -29,52 +29,68 @@ REQUEST = "bucket int, unit long, hashes binary, extra binary"
 REPLY = "unit long, bucket int, hashes binary, extra binary"
 
 
+# Quantiles of the ids that are known at most; ranges between them are cut evenly.
+RANGES = 1024
+
+
 @dataclass(frozen=True)
 class Layout:
-    """How a corpus is cut: id ranges of width into units, hashes by leading bits into buckets."""
+    """How a corpus is cut: ranges of ids by their starts, each in equal parts, make units; leading bits of hashes make buckets."""
 
-    low: int
-    width: int
-    units: int
+    starts: tuple[int, ...]
+    widths: tuple[int, ...]
+    parts: int
+    spread: int
     bits: int
 
+    def number(self, ids: np.ndarray) -> np.ndarray:
+        """Unit of every id: units are in the order of ids."""
+        starts = np.array(self.starts, np.int64)
+        at = np.maximum(np.searchsorted(starts, ids, "right") - 1, 0)
+        return at * self.parts + np.minimum((ids - starts[at]) // np.array(self.widths, np.int64)[at], self.parts - 1)
+
     @property
-    def buckets(self) -> int:
-        return 1 << self.bits
+    def last(self) -> int:
+        """First unit behind those of ids: rows without an id follow from there."""
+        return len(self.starts) * self.parts
 
 
 def layout(documents: DataFrame, unit_bytes: int = 4 << 20, least_units: int = 384, bucket_bytes: int = 2 << 20) -> Layout:
-    """One pass over lengths and ids. Sizes change the layout only, never a result."""
-    row = documents.agg(
-        F.min("doc_id").alias("low"), F.max("doc_id").alias("high"),
-        F.sum(F.octet_length("text").cast("long")).alias("size"),
-    ).first()
+    """One pass over lengths and ids. Sizes and ids change the layout only, never a result.
+
+    Ranges hold about as many documents each, however the ids lie, so a few ids far
+    away from the others do not make a unit large.
+    """
+    places = [i / RANGES for i in range(1, RANGES)]
+    row = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.octet_length(F.col("text").cast("string")).cast("long").alias("size")).agg(
+        F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.sum("size").alias("size"), F.percentile_approx("doc_id", places, 20 * RANGES).alias("at")).first()
     low, high, size = row["low"] or 0, row["high"] or 0, max(row["size"] or 0, 1)
     wanted = max(1, -(-size // unit_bytes), min(least_units, size // (64 << 10)))
-    width = max(1, -(-(high - low + 1) // wanted))
-    buckets = max(16, size // bucket_bytes)
-    return Layout(low - low % width, width, (high - low) // width + 2, min(24, int(buckets).bit_length()))
-
-
-def unit(plan: Layout) -> Column:
-    """Unit of a row; rows without an id follow all others, spread by their text."""
-    known = F.expr(f"(doc_id - pmod(doc_id, {plan.width}L)) div {plan.width}L - {plan.low // plan.width}L")
-    return F.coalesce(known, F.lit(plan.units) + F.pmod(F.xxhash64("text"), F.lit(plan.units)))
+    ranges = min(wanted, RANGES)
+    known = row["at"] or []
+    starts = sorted({low, *(known[i * RANGES // ranges - 1] for i in range(1, ranges) if known)})
+    parts = -(-wanted // ranges)
+    widths = [max(1, -(-(end - start) // parts)) for start, end in zip(starts, [*starts[1:], high + 1], strict=True)]
+    return Layout(tuple(starts), tuple(widths), parts, wanted, min(24, int(max(16, size // bucket_bytes)).bit_length()))
 
 
 def rows(documents: DataFrame, plan: Layout) -> DataFrame:
-    return documents.select(unit(plan).alias("unit"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    """What tasks read: id, text, and where a row without an id goes, by its text."""
+    text = F.col("text").cast("string")
+    slot = F.when(F.col("doc_id").isNull(), F.pmod(F.xxhash64(text), F.lit(plan.spread))).otherwise(F.lit(0))
+    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), slot.cast("long").alias("slot"))
 
 
-def by_unit(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch]]:
+def by_unit(batches: Iterator[pa.RecordBatch], plan: Layout) -> Iterator[tuple[int, pa.RecordBatch]]:
     """The rows of each unit in each batch; long stretches in several pieces."""
     for batch in batches:
         if not batch.num_rows:
             continue
-        units = batch.column(0).to_numpy(zero_copy_only=False)
+        ids = batch.column(0)
+        units = np.where(ids.is_null().to_numpy(zero_copy_only=False), plan.last + batch.column(2).to_numpy(), plan.number(ids.fill_null(0).to_numpy()))
         if (np.diff(units) < 0).any():
-            batch = batch.take(pa.array(np.argsort(units, kind="stable")))
-            units = np.sort(units, kind="stable")
+            order = np.argsort(units, kind="stable")
+            batch, units = batch.take(pa.array(order)), units[order]
         edges = np.flatnonzero(np.diff(units)) + 1
         for start, end in zip([0, *edges], [*edges, len(units)], strict=True):
             for piece in arrays.slices(batch.slice(start, end - start), "text", 8 << 20):
@@ -85,7 +101,7 @@ def packed(documents: DataFrame, plan: Layout) -> DataFrame:
     """The texts as compressed pieces of a unit, for the shuffle that brings a unit together."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for at, piece in by_unit(batches):
+        for at, piece in by_unit(batches, plan):
             sink = pa.BufferOutputStream()
             held = piece.select(["doc_id", "text"])
             with pa.ipc.new_stream(sink, held.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
@@ -208,7 +224,7 @@ def ask(documents: DataFrame, plan: Layout, entries: Callable[[pa.RecordBatch],
     bits = plan.bits
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for at, piece in by_unit(batches):
+        for at, piece in by_unit(batches, plan):
             hashes, extra = entries(piece)
             if len(hashes):
                 yield requests(at, hashes, extra, bits, width)
