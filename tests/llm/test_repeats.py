@@ -1,5 +1,6 @@
 """Substring and byte dedup against a scan that remembers every window."""
 
+import dataclasses
 import hashlib
 import random
 
@@ -70,6 +71,18 @@ def test_distant_ids(spark, documents, small_units):
     assert np.bincount(np.unique(plan.number(np.arange(300)), return_inverse=True)[1]).max() <= 100
 
 
+@pytest.mark.parametrize("bits", [15, 16, 18])
+def test_many_buckets(spark, documents, small_units, monkeypatch, bits):
+    """Layouts of large corpora: from 16 bits on a probe travels whole."""
+    plan = units.layout
+    monkeypatch.setattr(units, "layout", lambda frame, **kind: dataclasses.replace(plan(frame, **kind), bits=bits))
+    passage = " ".join(f"shared{i}" for i in range(60))
+    rows = [(i, f"{passage} own{i} " + " ".join(f"x{i}y{j}" for j in range(20))) for i in range(8)]
+    found = substrings.remove_repeats(documents(rows)).collect()
+    got = sorted(((r.doc_id, r.n_words, r.n_removed, hashlib.sha256(r.kept.encode()).hexdigest()) for r in found), key=repr)
+    assert got == brute(rows, 20, lambda t: t.encode().split(), lambda kept: b" ".join(kept))
+
+
 def test_empty(spark, documents):
     assert substrings.remove_repeats(documents([])).count() == 0
     assert suffixes.remove_repeated_bytes(documents([])).count() == 0

@@ -73,9 +73,9 @@ def remove_repeats(documents: DataFrame, window: int = 20) -> DataFrame:
         hashes, first = _words(piece.column("text"))
         starts, found = _windows(hashes, first, block)
         is_block = (arrays.place(first, len(hashes))[starts] % block == 0).astype(np.uint64)
-        # The last bit tells blocks; the hash itself travels without its last bits.
+        # The last bit tells blocks while sorting; keys never have it, whatever the mask keeps.
         found = np.sort(found & ~np.uint64(3) | is_block)
-        whole = found & probe_mask
+        whole = found & ~np.uint64(3) & probe_mask
         fresh = np.flatnonzero(np.concatenate([[True], whole[1:] != whole[:-1]])) if len(whole) else np.zeros(0, int)
         if not len(fresh):
             return whole, None
