@@ -36,3 +36,11 @@ def test_style_tree(spark):
     assert {r.host for r in nodes} == {"site.example.com"} and all(0 <= r.importance <= 1.0000001 for r in nodes)
     # On a site of one page nothing repeats.
     assert html.extract_text(pages.limit(1)).first().text == "Same on every page\n\nText 0 of its own"
+
+
+def test_names_in_articles(spark):
+    """Inside an article, ids and parts of names are no aside; whole tokens and known compounds are."""
+    body = ("<article><h2 id='related-work'>Related work</h2><section id='social-history'><p>history</p></section><div class='share-prices'>prices</div>"
+            "<div class='related-posts'>more</div><ul class='big share'><li>tweet</li></ul><div role='search'>find</div><p id='notice'>end</p></article><div id='cookie-notice'>cookies</div>")
+    pages = spark.createDataFrame([(1, "http://a.example.com/", page(body))], "page_id bigint, url string, html string")
+    assert html.extract_text(pages).first().text == "Related work\n\nhistory\n\nprices\n\nend"

@@ -38,11 +38,20 @@ ENDS_P = frozenset("address article aside blockquote details div dl fieldset fig
 BARRIER = frozenset("ul ol dl table td th article section div main aside nav header footer blockquote body html".split())
 ROOMS = BARRIER - {"td", "th"}
 BREAK = re.compile(r"[-_\s]+")
+# Inside an article a word above has to be a whole token of class or role, or one of these compounds (fixed values).
+COMPOUNDS = frozenset(
+    "ad-banner ad-container ad-slot ad-unit alert-box comment-form comment-list comments-area comments-section cookie-banner cookie-consent cookie-notice login-form newsletter-form newsletter-signup "
+    "page-navigation popup-overlay post-comments post-navigation related-articles related-links related-posts related-stories search-box search-form share-bar share-buttons share-links sharing-buttons "
+    "sidebar-widget signup-form social-buttons social-icons social-links social-media social-share sponsored-content subscribe-form".split())
 
 
-def _says_aside(signs: str, main: bool) -> bool:
-    words = set(BREAK.split(signs.lower()))
-    return not words.isdisjoint(ROLES) or not main and not words.isdisjoint(HEADS)
+def _says_aside(kind: str, own: str, role: str, main: bool) -> bool:
+    """Whether class, id or role say that an element is no main text; inside an article an id, made from a heading's words perhaps, says nothing."""
+    if main:
+        tokens = f"{kind} {role}".lower().split()
+        return any(x in ROLES or x.replace("_", "-") in COMPOUNDS for x in tokens)
+    words = set(BREAK.split(f"{kind} {own} {role}".lower()))
+    return not words.isdisjoint(ROLES) or not words.isdisjoint(HEADS)
 
 
 def _path(parent: int, style: str) -> int:
@@ -84,9 +93,9 @@ class Page:
         style = ".".join([name, *sorted(kind.lower().split())])
         around[4] = _path(around[4], style)
         main = around[3] or name in MAIN or found.get("role", "").lower() == "main"
-        signs = f"{kind} {found.get('id', '')} {found.get('role', '')}".strip()
+        own, role = found.get("id", ""), found.get("role", "")
         hidden = "hidden" in attributes.lower().split() or "display:none" in found.get("style", "").replace(" ", "").lower()
-        aside = around[2] or hidden or name in ASIDE and not (name == "header" and main) or bool(signs) and _says_aside(signs, main)
+        aside = around[2] or hidden or name in ASIDE and not (name == "header" and main) or bool(kind or own or role) and _says_aside(kind, own, role, main)
         self.open.append([name, _path(around[1], style), aside, main, 0])
 
     def _close(self, names: tuple[str, ...], barrier: frozenset[str]) -> None:
