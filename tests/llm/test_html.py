@@ -44,3 +44,13 @@ def test_names_in_articles(spark):
             "<div class='related-posts'>more</div><ul class='big share'><li>tweet</li></ul><div role='search'>find</div><p id='notice'>end</p></article><div id='cookie-notice'>cookies</div>")
     pages = spark.createDataFrame([(1, "http://a.example.com/", page(body))], "page_id bigint, url string, html string")
     assert html.extract_text(pages).first().text == "Related work\n\nhistory\n\nprices\n\nend"
+
+
+def test_copies(spark):
+    """Copies of a page are no evidence of what its site repeats."""
+    lone, strip = page("<div><p>text</p><p>text</p></div>"), "<div class='strip'>Same on every page</div>"
+    rows = [(i, url, lone) for i, url in enumerate(["http://a.example.com/1", "http://a.example.com/2", None, None, "http://b.example.com/"])]
+    rows += [(10 + i, f"http://c.example.com/{i}", page(f"{strip}<div class='body'><p>Text {max(0, i - 90)} of its own</p></div>")) for i in range(100)]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    wanted = {i: "text\n\ntext" for i in range(5)} | {10 + i: f"Text {max(0, i - 90)} of its own" for i in range(100)}
+    assert {r.page_id: r.text for r in html.extract_text(pages).collect()} == wanted

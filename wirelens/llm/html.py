@@ -161,26 +161,39 @@ def style_tree(pages: DataFrame, weight: float = 0.9) -> DataFrame:
     one node. The importance of what it shows is the entropy of the texts of its
     blocks over all pages, of how it shows it the entropy of its child styles, each
     divided by the greatest that so many could have: 0 where all are alike, 1 where
-    all differ. A node seen once has importance 1.
+    all differ. Pages of a host with the same blocks and shapes count once, and a node
+    that only one such page has has importance 1.
     """
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, parsed in _parsed(batches, 1):
-            sites = part.column(0).to_pylist()
-            found: Counter = Counter()
-            for site, page in zip(sites, parsed, strict=True):
-                found.update((site, path, True, xxhash.xxh64_intdigest(text)) for path, _, _, text in page.blocks)
-                found.update((site, path, False, shape) for path, shape in page.shapes)
+            # Of every page: the number of its blocks, then the paths and then the values of blocks and shapes.
+            held = [np.array([len(x.blocks), *(b[0] for b in x.blocks), *(s[0] for s in x.shapes), *(xxhash.xxh64_intdigest(b[3]) for b in x.blocks), *(s[1] for s in x.shapes)], np.uint64).tobytes() for x in parsed]
+            page = np.array([xxhash.xxh64_intdigest(x) for x in held], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(page), pa.array(held, pa.binary())], ["host", "page", "held"])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found, pages = Counter(), Counter()
+            for site, held in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                blocks, *both = np.frombuffer(held, np.int64).tolist()
+                paths, values = both[:len(both) // 2], both[len(both) // 2:]
+                nodes = [(site, path, at < blocks, value) for at, (path, value) in enumerate(zip(paths, values, strict=True))]
+                found.update(nodes)
+                # A page counts once at a node, with the first of what it shows there.
+                pages.update({x[:3]: x for x in reversed(nodes)}.values())
             if found:
                 site, path, content, value = zip(*found, strict=True)
                 yield pa.RecordBatch.from_arrays([
-                    pa.array(site, pa.string()), pa.array(np.array(path, np.uint64).view(np.int64)), pa.array(content), pa.array(np.array(value, np.uint64).view(np.int64)),
-                    pa.array(list(found.values()), pa.int64())], ["host", "path", "content", "value", "n"])
-
-    counts = pages.select(host(F.col("url")).alias("host"), "html").mapInArrow(count, "host string, path long, content boolean, value long, n long")
-    values = counts.groupBy("host", "path", "content", "value").agg(F.sum("n").alias("n"))
-    nodes = values.groupBy("host", "path", "content").agg(F.sum("n").alias("all"), F.sum(F.col("n") * F.ln("n")).alias("inner"))
-    spread = F.when(F.col("all") > 1, (F.ln("all") - F.col("inner") / F.col("all")) / F.ln("all")).otherwise(1.0)
+                    pa.array(site, pa.string()), pa.array(path, pa.int64()), pa.array(content), pa.array(value, pa.int64()),
+                    pa.array(list(found.values()), pa.int64()), pa.array([pages[x] for x in found], pa.int64())], ["host", "path", "content", "value", "n", "pages"])
+
+    # Copies of a page say nothing about its site: each distinct page counts once.
+    distinct = pages.select(host(F.col("url")).alias("host"), "html").mapInArrow(read, "host string, page long, held binary").dropDuplicates(["host", "page"])
+    counts = distinct.select("host", "held").mapInArrow(count, "host string, path long, content boolean, value long, n long, pages long")
+    values = counts.groupBy("host", "path", "content", "value").agg(F.sum("n").alias("n"), F.sum("pages").alias("pages"))
+    nodes = values.groupBy("host", "path", "content").agg(F.sum("n").alias("all"), F.sum(F.col("n") * F.ln("n")).alias("inner"), F.sum("pages").alias("pages"))
+    spread = F.when(F.col("pages") > 1, (F.ln("all") - F.col("inner") / F.col("all")) / F.ln("all")).otherwise(1.0)
     both = nodes.groupBy("host", "path").agg(F.max(F.when(F.col("content"), spread)).alias("text"), F.max(F.when(~F.col("content"), spread)).alias("shape"))
     return both.select("host", "path", (F.lit(weight) * F.coalesce("text", "shape") + F.lit(1 - weight) * F.coalesce("shape", "text")).alias("importance"))
 
