@@ -7,7 +7,7 @@ from collections.abc import Callable
 import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontaminate, html, language_model, licenses, mixing, quality, sharding, simhash, substrings, suffixes
+from . import decontaminate, html, language_model, licenses, merkle, mixing, quality, sharding, simhash, substrings, suffixes
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -70,6 +70,11 @@ def op10_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_model.score_documents(table(spark, sf_dir, "documents"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaf, roots, witness hash and verdict of every document in the manifest of all."""
+    return merkle.manifest(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, tuple[Query, str | None]] = {
     "op1_quality_rules": (op1_quality_rules, None),
     "op2_substring_dedup": (op2_substring_dedup, None),
@@ -81,5 +86,6 @@ QUERIES: dict[str, tuple[Query, str | None]] = {
     "op8_suffix_dedup": (op8_suffix_dedup, None),
     "op9_benchmark_decontamination": (op9_benchmark_decontamination, None),
     "op10_language_model": (op10_language_model, None),
+    "op11_merkle_manifest": (op11_merkle_manifest, merkle.answer()),
     "pipeline": (corpus_pipeline.run, corpus_pipeline.ORACLE_SQL),
 }
