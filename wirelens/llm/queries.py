@@ -7,7 +7,7 @@ from collections.abc import Callable
 import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontaminate, html, language_model, licenses, merkle, mixing, quality, sharding, simhash, substrings, suffixes
+from . import decontaminate, html, language_model, licenses, merkle, mixing, quality, sharding, simhash, substrings, suffixes, whitening
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -75,6 +75,11 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.manifest(table(spark, sf_dir, "documents"))
 
 
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every embedding along the sixteen leading eigenvectors of the covariance, whitened."""
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, tuple[Query, str | None]] = {
     "op1_quality_rules": (op1_quality_rules, None),
     "op2_substring_dedup": (op2_substring_dedup, None),
@@ -87,5 +92,6 @@ QUERIES: dict[str, tuple[Query, str | None]] = {
     "op9_benchmark_decontamination": (op9_benchmark_decontamination, None),
     "op10_language_model": (op10_language_model, None),
     "op11_merkle_manifest": (op11_merkle_manifest, merkle.answer()),
+    "op12_embedding_whitening": (op12_embedding_whitening, None),
     "pipeline": (corpus_pipeline.run, corpus_pipeline.ORACLE_SQL),
 }
