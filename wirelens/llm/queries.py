@@ -5,9 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import corpus_pipeline
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from . import decontaminate, html, language_model, licenses, merkle, mixing, quality, sharding, simhash, substrings, suffixes, whitening
+from . import decontaminate, html, language_model, licenses, merkle, mixing, quality, secrets, sharding, simhash, substrings, suffixes, whitening
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -80,6 +80,18 @@ def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(table(spark, sf_dir, "embeddings"))
 
 
+def op13_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in every document: those of three patterns, and incompressible strings near sensitive words."""
+    def told(spans: Column) -> Column:
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+
+    def of(*kinds: str) -> Column:
+        return F.filter("found", lambda s: s["kind"].isin(*kinds))
+
+    return secrets.scan(table(spark, sf_dir, "documents")).select(
+        "doc_id", *(F.size(of(k)).cast("long").alias(f"n_{k}") for k in secrets.KINDS), F.sha2(told(of(*secrets.KINDS[:-1])), 256).alias("base_sha256"), told(F.col("found")).alias("spans"))
+
+
 QUERIES: dict[str, tuple[Query, str | None]] = {
     "op1_quality_rules": (op1_quality_rules, None),
     "op2_substring_dedup": (op2_substring_dedup, None),
@@ -93,5 +105,6 @@ QUERIES: dict[str, tuple[Query, str | None]] = {
     "op10_language_model": (op10_language_model, None),
     "op11_merkle_manifest": (op11_merkle_manifest, merkle.answer()),
     "op12_embedding_whitening": (op12_embedding_whitening, None),
+    "op13_secret_scan": (op13_secret_scan, None),
     "pipeline": (corpus_pipeline.run, corpus_pipeline.ORACLE_SQL),
 }
