@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wirelens.llm import decontaminate, mixing, near_copies, quality, sharding
+from wirelens.llm import decontaminate, mixing, quality, sharding, simhash
 from wirelens.operators.materialize import materialize
 
 
@@ -20,8 +20,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of near copies (five words, Jaccard 0.8 or more), the one with the smallest id."""
-    return near_copies.keep_one(docs)
+    """One document of each component of fingerprints within four bits (4-word shingles), the one with the smallest id."""
+    return simhash.keep_one(docs, shingle=4, errors=4)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
