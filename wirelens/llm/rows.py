@@ -10,16 +10,27 @@ def row_key(documents: DataFrame) -> Column:
     return F.xxhash64(*(F.col(f"`{c}`") for c in documents.columns))
 
 
+def free_names(columns: list[str], *names: str) -> list[str]:
+    """The names, with as many underscores before them as make them differ from all columns, whatever their case."""
+    known = {c.lower() for c in columns}
+    mark = "_"
+    while any(f"{mark}{n}".lower() in known for n in names):
+        mark += "_"
+    return [f"{mark}{n}" for n in names]
+
+
 def take_rows(documents: DataFrame, chosen: DataFrame) -> DataFrame:
     """Documents by number: chosen has doc_id, row (``row_key``), copies and rows, one line for each.
 
     ``copies`` are to be taken in all from the ``rows`` rows that are alike. Such rows
-    are alike in every column, so any of them may stand for the others.
+    are alike in every column, so any of them may stand for the others. Columns may
+    have any names.
     """
     own = [F.col(f"`{c}`") for c in documents.columns]
-    totals = chosen.select(F.coalesce("doc_id", F.lit(0)).alias("_id"), F.col("row").alias("_key"), F.col("copies").alias("_copies"), F.col("rows").alias("_rows"))
-    alike = Window.partitionBy("_id", "_key").orderBy(F.lit(1))
-    held = documents.select(*own, F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("_id"), row_key(documents).alias("_key")).withColumn("_at", F.row_number().over(alike))
-    times = F.floor(F.col("_copies") / F.col("_rows")) + (F.col("_at") <= F.pmod("_copies", "_rows")).cast("long")
-    joined = held.join(totals.where("_copies > 0"), ["_id", "_key"]).withColumn("_times", times).where("_times > 0")
-    return joined.withColumn("_time", F.explode(F.sequence(F.lit(1), F.col("_times").cast("int")))).select(*own)
+    id_, key, copies, rows, at, times, time = free_names(documents.columns, "id", "key", "copies", "rows", "at", "times", "time")
+    totals = chosen.select(F.coalesce("doc_id", F.lit(0)).alias(id_), F.col("row").alias(key), F.col("copies").alias(copies), F.col("rows").alias(rows))
+    alike = Window.partitionBy(id_, key).orderBy(F.lit(1))
+    held = documents.select(*own, F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias(id_), row_key(documents).alias(key)).withColumn(at, F.row_number().over(alike))
+    taken = F.floor(F.col(copies) / F.col(rows)) + (F.col(at) <= F.pmod(copies, rows)).cast("long")
+    joined = held.join(totals.where(F.col(copies) > 0), [id_, key]).withColumn(times, taken).where(F.col(times) > 0)
+    return joined.withColumn(time, F.explode(F.sequence(F.lit(1), F.col(times).cast("int")))).select(*own)
