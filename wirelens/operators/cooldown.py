@@ -32,6 +32,8 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 # smaller than the matches by a factor of 64 ** 3 where they are dense.
 FAN = 64
 LEVELS = 3
+# Matches of a key that a task walks at once; a key with more gets a level for each factor FAN.
+WALKED = 1 << 16
 
 
 def _whole_groups(frames: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFrame]:
@@ -122,16 +124,27 @@ def _block(column: str, length: int):
     return F.col(column) - F.pmod(F.col(column), F.lit(length))
 
 
+def levels_for(most: int) -> int:
+    """Levels of blocks between the matches and the walk, by the most matches that a key has."""
+    levels = 0
+    while levels < LEVELS and most > WALKED * FAN**levels:
+        levels += 1
+    return levels
+
+
 def fired(matches: DataFrame, keys: list[str], at: str, sequence: str, cooldown_us: int,
-          fan: int = FAN, levels: int = LEVELS) -> DataFrame:
+          fan: int = FAN, levels: int | None = None) -> DataFrame:
     """Sequences of the matches that fire an alert (with their keys and times).
 
-    ``levels`` of blocks are put between the matches and the walk per key.
+    ``levels`` of blocks are put between the matches and the walk per key: as many as
+    the longest key needs, if none are given. The hits are the same for any number.
     """
     if cooldown_us <= 0:
         return matches.select(*keys, F.col(at).alias("at"), F.col(sequence).alias("seq"))
     # Of matches at the same time only the first can fire.
     base = materialize(matches.groupBy(*keys, F.col(at).alias("at")).agg(F.min(sequence).alias("seq")))
+    if levels is None:
+        levels = levels_for(base.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0)
     kinds = {f.name: f.dataType.simpleString() for f in base.schema}
     head = ", ".join(f"`{k}` {kinds[k]}" for k in keys)
     item = f"{head}, at bigint, seq bigint, until bigint"

@@ -267,14 +267,6 @@ def _source(spark: SparkSession, folder: str) -> DataFrame:
     return _read(spark, out)
 
 
-@add("str1_enrich", O.events(
-    "select sequence, slow, normalized_query, n_plus_1_scope, case when error <> '' then 'ERROR' when slow then 'SLOW' else 'OK' end as status from ev"))
-def _str1(spark: SparkSession, folder: str) -> DataFrame:
-    rows = _in_parts(spark, trace_tx(spark, folder), "started_us", "sequence")
-    out, _ = _run(spark, streams.stream_enrich(rows, TRACE).select("sequence", "slow", "normalized_query", "n_plus_1_scope", "status"))
-    return _read(spark, out)
-
-
 def _settled(spark: SparkSession, rows: DataFrame, at: str, make) -> settled.Tables:
     """Run a stream through a settling step to its end."""
     tables = settled.Tables(spark, new_path(spark, "settled"))
@@ -284,6 +276,23 @@ def _settled(spark: SparkSession, rows: DataFrame, at: str, make) -> settled.Tab
     return tables
 
 
+def _enriched(spark: SparkSession, folder: str) -> DataFrame:
+    rows = settled.Enrichment.rows(_in_parts(spark, trace_tx(spark, folder), "started_us", "sequence"), TRACE)
+    return _settled(spark, rows, "started_us", lambda tables: settled.Enrichment(tables, TRACE)).all("events")
+
+
+@add("str1_enrich", O.events(
+    f"select sequence, slow, normalized_query, n_plus_1_scope, n_plus_1_hits, n_plus_1_distinct_args, n_plus_1, {O.STATUS} as status from ev"))
+def _str1(spark: SparkSession, folder: str) -> DataFrame:
+    return _enriched(spark, folder).select("sequence", "slow", "normalized_query", "n_plus_1_scope", "n_plus_1_hits", "n_plus_1_distinct_args", "n_plus_1", "status")
+
+
+@add("str1_filtered_sink", O.events(f"select sequence, {O.STATUS} as status from ev where n_plus_1 and duration_ms > 50"))
+def _str1_filtered(spark: SparkSession, folder: str) -> DataFrame:
+    """What a filter line keeps of the streamed events, N+1 included."""
+    return _enriched(spark, folder).where(compile_filter("n+1 d>50ms")).select("sequence", "status")
+
+
 def _nplus1(spark: SparkSession, folder: str) -> DataFrame:
     rows = settled.NPlusOne.rows(_in_parts(spark, trace_tx(spark, folder), "started_us", "sequence"), TRACE)
     return _settled(spark, rows, "started_us", lambda tables: settled.NPlusOne(tables, TRACE)).all("hits")
@@ -299,6 +308,21 @@ def _str2_alerts(spark: SparkSession, folder: str) -> DataFrame:
     return _nplus1(spark, folder).where("alert").select("sequence", "n_plus_1_scope", "normalized_query")
 
 
+_TTL_US = 6 * 3_600_000_000
+
+
+# A key is a connection and operation; it is forgotten after six silent hours.
+@add("str10_key_lives", O.events(f"""select connection_id, operation, min(started_us) as life_us, max(started_us) as last_us, count(*) as rows from (
+    select *, sum(fresh) over (partition by connection_id, operation order by started_us, sequence) as life from (
+        select connection_id, operation, sequence, started_us, case when started_us - lag(started_us) over (partition by connection_id, operation order by started_us, sequence) <= {_TTL_US} then 0 else 1 end as fresh
+        from ev)) group by connection_id, operation, life"""))
+def _str10(spark: SparkSession, folder: str) -> DataFrame:
+    steps = []
+    rows = _in_parts(spark, trace_tx(spark, folder), "started_us", "sequence").select("connection_id", "operation", "started_us")
+    _settled(spark, rows, "started_us", lambda tables: steps.append(settled.KeyLives(tables, ["connection_id", "operation"], "connection_id string, operation string", "started_us", _TTL_US)) or steps[0])
+    return steps[0].lives()
+
+
 def _assembled(spark: SparkSession, rows: DataFrame, idle_us: int) -> DataFrame:
     stream = _in_parts(spark, rows, "captured_us", "frame_no")
     return _settled(spark, stream, "captured_us", lambda tables: settled.Assembly(tables, TRACE, idle_us)).all("events")

@@ -10,18 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..functions import text
 from ..operators import analytics, ranking
-from ..operators.enrich import add_basics
-from ..options import Options
-
-
-def stream_enrich(events: DataFrame, options: Options) -> DataFrame:
-    """Row-wise enrichment of a stream; N+1 figures start at zero."""
-    zero = F.lit(0).cast("bigint")
-    rows = add_basics(events, options).withColumns({
-        "n_plus_1": F.lit(False), "n_plus_1_hits": zero, "n_plus_1_distinct_args": zero})
-    return rows.withColumn("status", text.event_status())
 
 
 def stream_analytics(events: DataFrame) -> DataFrame:
