@@ -151,3 +151,18 @@ def test_hot_key_plans_limit_before_the_shuffle(spark):
     rows = spark.range(100).select((F.col("id") % 3).alias("k"), F.col("id").alias("n"))
     plan = blocks.first_rows(rows, ["k"], ["n"], 5)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("WindowGroupLimit") == 2
+
+
+@pytest.mark.parametrize("rows", [1, 4, 250])
+def test_active_connections_by_a_tree(spark, rows):
+    """Blocks of 4 rows, 3 of them under a parent: four levels and more for 250 rows; no window is without keys."""
+    rng = random.Random(rows)
+    log = [(i * 2 + 7, rng.choice(["open", "close", "close", "other"]) if i % 50 < 30 else "open") for i in range(rows)]
+    depth, wanted = 0, []
+    for order, action in log:
+        depth = depth + 1 if action == "open" else max(0, depth - 1) if action == "close" else depth
+        wanted.append((order, action, depth))
+    found = analytics.active_connections(spark.createDataFrame(log, "order bigint, action string"), block_rows=4, fan=3)
+    assert sorted(tuple(r) for r in found.collect()) == wanted
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SinglePartition" not in plan

@@ -223,7 +223,10 @@ def counters(events: DataFrame) -> DataFrame:
     )
 
 
-def active_connections(log: DataFrame, block_rows: int = 65536) -> DataFrame:
-    """Open connections after each log row (``order``, ``action``), never below zero."""
-    counted = fifo_counts(log, [], "order", F.col("action") == "open", F.col("action") == "close", block_rows)
+def active_connections(log: DataFrame, block_rows: int = 65536, fan: int = 64) -> DataFrame:
+    """Open connections after each log row (``order``, ``action``), never below zero.
+
+    The log has no key, so its blocks are scanned by a tree (``fan`` blocks meet at a time).
+    """
+    counted = fifo_counts(log, [], "order", F.col("action") == "open", F.col("action") == "close", block_rows, fan=fan)
     return counted.select("order", "action", F.col("depth").alias("active_connections"))

@@ -38,8 +38,44 @@ def _kind(*names: str) -> Column:
     return F.col("kind").isin(*names)
 
 
+def _starts_by_tree(folded: DataFrame, keys: Sequence[str], block_rows: int, fan: int) -> DataFrame:
+    """What each block starts from (``_o0``, ``_x0``, ``_low0``), by a tree of blocks of blocks.
+
+    A block is its opens, closes and lowest level; two neighbours make one again. A level
+    folds ``fan`` neighbours to their parent, until every key has a single one; then each
+    parent's start is handed down to its children. Only the children of one parent meet,
+    so no task sees all blocks of a key, also where there is no key at all. The number of
+    levels is that of the longest key.
+    """
+    zero = F.lit(0).cast("bigint")
+    ends = folded.agg(F.min(blocks.BLOCK).alias("low"), F.max(blocks.BLOCK).alias("high")).first()
+    least, number = ends["low"] or 0, ((ends["high"] or 0) - (ends["low"] or 0)) // block_rows + 1
+    floor = folded.withColumn("_n", ((F.col(blocks.BLOCK) - least) / block_rows).cast("bigint"))
+    floors = []
+    while True:
+        among = Window.partitionBy(*keys, "_up").orderBy("_n").rowsBetween(Window.unboundedPreceding, -1)
+        placed = floor.withColumn("_up", F.floor(F.col("_n") / fan)).withColumns({
+            "_oi": F.coalesce(F.sum("_bo").over(among), zero), "_xi": F.coalesce(F.sum("_bx").over(among), zero)})
+        placed = materialize(placed.withColumn("_li", F.min(F.col("_oi") - F.col("_xi") + F.col("_bl")).over(among)))
+        floors.append(placed)
+        number = -(-number // fan)
+        if number == 1:
+            break
+        floor = placed.groupBy(*keys, F.col("_up").alias("_n")).agg(
+            F.sum("_bo").alias("_bo"), F.sum("_bx").alias("_bx"), F.min(F.col("_oi") - F.col("_xi") + F.col("_bl")).alias("_bl"))
+    starts = None
+    for placed in reversed(floors):
+        if starts is None:
+            given = placed.withColumns({"_po": zero, "_px": zero, "_pl": zero})
+        else:
+            given = placed.join(starts.select(*keys, F.col("_n").alias("_up"), F.col("_o0").alias("_po"), F.col("_x0").alias("_px"), F.col("_low0").alias("_pl")), [*keys, "_up"])
+        starts = given.withColumns({
+            "_o0": F.col("_po") + F.col("_oi"), "_x0": F.col("_px") + F.col("_xi"), "_low0": F.least("_pl", F.col("_po") - F.col("_px") + F.col("_li"))})
+    return starts.select(*keys, blocks.BLOCK, "_o0", "_x0", "_low0")
+
+
 def fifo_counts(df: DataFrame, keys: Sequence[str], order: str, opens: Column, closes: Column,
-                block_rows: int, last: str | None = None) -> DataFrame:
+                block_rows: int, last: str | None = None, fan: int | None = None) -> DataFrame:
     """Queue counters after each row: ``opened``, ``closed`` (orphans excluded), ``depth``.
 
     With S the running opens minus closes, every new low of S below zero is a
@@ -47,7 +83,8 @@ def fifo_counts(df: DataFrame, keys: Sequence[str], order: str, opens: Column, c
     being min(0, S's running minimum), and the k-th surviving close belongs to
     the k-th open. ``is_open``, ``is_close`` and ``is_orphan`` tell the row's own
     role; ``closes`` counts all closes. ``last`` names a column whose maximum
-    over the key is added as ``key_last``.
+    over the key is added as ``key_last``. With ``fan``, blocks are scanned by a tree
+    of that width (without ``last``), for keys that may be the whole table.
     """
     staged = blocks.with_block(df.withColumns({
         "is_open": F.coalesce(opens, F.lit(False)), "is_close": F.coalesce(closes, F.lit(False)),
@@ -62,10 +99,9 @@ def fifo_counts(df: DataFrame, keys: Sequence[str], order: str, opens: Column, c
     zero = F.lit(0).cast("bigint")
     top = [F.max(last).alias("_bt")] if last else []
     key_last = [F.max("_bt").over(Window.partitionBy(*keys)).alias("key_last")] if last else []
-    starts = (
-        local.groupBy(*keys, blocks.BLOCK)
-        .agg(F.max("_o").alias("_bo"), F.max("_x").alias("_bx"), F.min("_low").alias("_bl"), *top)
-        .withColumns({
+    folded = local.groupBy(*keys, blocks.BLOCK).agg(F.max("_o").alias("_bo"), F.max("_x").alias("_bx"), F.min("_low").alias("_bl"), *top)
+    starts = _starts_by_tree(materialize(folded), keys, block_rows, fan) if fan else (
+        folded.withColumns({
             "_o0": F.coalesce(F.sum("_bo").over(earlier), zero),
             "_x0": F.coalesce(F.sum("_bx").over(earlier), zero),
         })
