@@ -222,7 +222,19 @@ def _response_export(spark: SparkSession, folder: str) -> DataFrame:
         F.array_join("r.response.columns", "|").alias("columns"))
 
 
-@add("snk11_console_lines")
+_MARKS = ("coalesce(nullif(concat_ws(',', case when error <> '' then 'ERROR' end, case when n_plus_1 then 'N+1[' || n_plus_1_hits || '/' || n_plus_1_distinct_args || ']' end, "
+          "case when slow then 'SLOW' end), ''), nullif(status_tag, ''), 'OK')")
+_PREVIEW = """list_concat(['response_size: rows=' || response_total_rows || ' bytes=' || response_total_bytes],
+    case when len(response_columns) > 0 then ['columns: ' || array_to_string(response_columns, ' | ')] else cast([] as varchar[]) end,
+    case when len(response_rows) > 0 then list_transform(response_rows, lambda cells, n: 'row ' || n || ': ' || array_to_string(cells, ' | ')) else ['rows: (no preview rows)'] end,
+    case when response_total_rows > 0 then ['preview: ' || len(response_rows) || ' of ' || response_total_rows || case when response_truncated then ' [truncated]' else '' end]
+         when response_truncated then ['preview: truncated'] else cast([] as varchar[]) end)"""
+
+
+@add("snk11_console_lines", O.events(
+    "select sequence, printf('[%s] %-8s %8.2f ms rows=%-5d resp_rows=%-5d resp_bytes=%-7d conn=%s status=%s query=%s', strftime(make_timestamp(started_us), '%H:%M:%S'), operation, duration_ms, "
+    f"rows_affected, response_total_rows, response_total_bytes, connection_id, {_MARKS}, {O.compact('query', 120)}) || "
+    f"array_to_string(list_transform({_PREVIEW}, lambda x: chr(10) || '    ' || x), '') as line from ev where slow or error <> ''"))
 def _console(spark: SparkSession, folder: str) -> DataFrame:
     return sinks.event_lines(sinks.visible(trace(spark, folder), filter_line="slow or error"), "preview")
 
