@@ -76,19 +76,18 @@ def _tally(found: list[tuple[np.ndarray, np.ndarray]], learn: np.ndarray, bits:
 def score_documents(documents: DataFrame, order: int = 2, concentration: float = 200.0, folds: int = 7, fold: int = 2) -> DataFrame:
     """Log10 probability of every text under an n-gram model of the others.
 
-    States of the automaton are the contexts seen in training, from the empty one
-    (single tokens) to ``order - 1`` tokens. In a state, a token seen after it has
-    an arc whose weight mixes its count with the next shorter state's probability;
-    any other token takes the failure arc, of weight
-    ``concentration / (count + concentration)``, to the shorter state. The weights
-    of a state sum to one (hierarchical Dirichlet smoothing). Single tokens are
+    The model is that of a backoff automaton, in closed form: contexts seen in training,
+    from the empty one (single tokens) to ``order - 1`` tokens, stand for its states,
+    but no states are numbered and none is carried along a text. After a context, a
+    token seen there has a probability that mixes its count with that after the next
+    shorter context; any other token backs off to the shorter one with the weight
+    ``concentration / (count + concentration)``. The weights of a context sum to one (hierarchical Dirichlet smoothing). Single tokens are
     discounted, and what is taken off is the probability of an unseen token.
 
     The model is never held as a whole: units send their distinct n-grams with
     their counts, buckets add them up, and each unit gets back the counts of its own
-    n-grams that other units share. A unit then holds all states its texts can
-    reach; the traversal steps all texts of a unit from left to right at once, the
-    state at a token being the longest seen context before it.
+    n-grams that other units share. A unit then holds all contexts of its texts, and
+    mixes the counts of all lengths at every token of a unit at once.
 
     Texts are lower-cased in A-Z and cut at white space; an end follows each, counted
     as a token. Learned are those whose ``crc32(doc_id as text) mod folds`` is not
