@@ -6,6 +6,7 @@ import re
 import zlib
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 
 from wirelens.llm import language_model, quality
@@ -81,6 +82,62 @@ def test_language_model(spark, documents, awkward, small_units, order):
     assert got == wanted
 
 
+
+def test_quality_against_dictionaries(spark, documents, awkward):
+    """Scores, toxicity and verdicts by plain dictionaries of whole n-grams and words; so many buckets that few are shared."""
+    rng, size = random.Random(8), 1 << 19
+    plain, bad = [f"w{i}" for i in range(30)], ["(Blight!", "blight", "grue;", "Wretch.", "moldy"]
+    rows = [*awkward]
+    for i in range(100, 190):
+        words = rng.choices(plain, k=rng.randint(40, 90))
+        if i % 3 == 0:
+            for at in rng.sample(range(len(words)), 5):
+                words[at] = rng.choice(bad)
+        rows.append((i, " ".join(words)))
+    marks = [(i, 0 if i % 7 == 0 else 1, 1 if i % 3 == 0 else 0) for i in range(100, 160)] + [(5, 1, 0), (101, 1, None), (102, None, 1), (None, 1, 1), (106, 0, 0), (106, 1, 0)]
+    docs = documents(rows)
+    found = quality.score_documents(docs, spark.createDataFrame(marks, "doc_id long, quality int, toxic int"), buckets=size, toxic_buckets=size, threshold=-0.4, most_toxic=1.2).collect()
+    toxic = {i for i, _, t in marks if t == 1 and i is not None}
+    trusted = {i for i, q, t in marks if q == 1 and t != 1 and i is not None} - {i for i, q, t in marks if q == 0 or t == 1}
+
+    def grams(text):
+        words = (text or "").encode().lower().split()
+        return [bucket[b" ".join(words[at : at + n])] for n in (1, 2) for at in range(len(words) - n + 1)]
+
+    def bare(text):
+        return {place[w] for w in plain_words(text)}
+
+    def plain_words(text):
+        return set(bytes(32 if 32 < b < 127 and not chr(b).isalnum() else b for b in (text or "").encode().lower()).split())
+
+    split = [(t or "").encode().lower().split() for _, t, *_ in rows]
+    names = sorted({b" ".join(w[at : at + n]) for w in split for n in (1, 2) for at in range(len(w) - n + 1)})
+    hashed, owner = quality._features(*quality._lowered(pa.array([n.decode() for n in names])), size, 2)
+    bucket = {names[o]: h for h, o in zip(hashed, owner)}  # the longest n-gram comes last
+    bare_names = sorted(set().union(*(plain_words(t) for _, t, *_ in rows)))
+    place = dict(zip(bare_names, quality._plain_words(pa.array([n.decode() for n in bare_names]), size)[0]))
+    raw, target, clean, ugly = Counter(), Counter(), Counter(), Counter()
+    for i, text, *_ in rows:
+        raw.update(grams(text))
+        target.update(grams(text) if i in trusted else [])
+        clean.update(bare(text) if i in trusted else [])
+        ugly.update(bare(text) if i in toxic else [])
+    many = [sum(i in ids for i, *_ in rows) for ids in (toxic, trusted)]
+    wanted = []
+    for i, text, *_ in rows:
+        one = [math.log((target[g] + 1) / (sum(target.values()) + size) * (sum(raw.values()) + size) / (raw[g] + 1)) for g in grams(text)]
+        two = sorted((max(0.0, math.log((ugly[w] + 1) / (clean[w] * many[0] / many[1] + 1))) for w in bare(text)), reverse=True)
+        wanted.append((i, (text or "")[:40], sum(one) / max(len(one), 1), sum(two[:3]) / 3))
+    by_id = sorted(((-1 if r.doc_id is None else r.doc_id, r.n_words, r.score, r.toxicity, r.base_failed, r.kept) for r in found))
+    plain_rows = sorted((-1 if i is None else i, len((t or "").encode().split()), s, x) for (i, _, s, x), (_, t, *_) in zip(wanted, rows))
+    assert len(by_id) == len(plain_rows)
+    for got, want in zip(by_id, plain_rows):
+        assert got[:2] == want[:2] and abs(got[2] - want[2]) < 1e-5 and abs(got[3] - want[3]) < 1e-5
+        assert got[5] == (not got[4] and got[2] >= -0.4 and got[3] < 1.2)
+    caught = {r.doc_id for r in found if r.toxicity >= 1.2}
+    assert caught and all(i % 3 == 0 for i in caught) and any(i >= 160 for i in caught)
+
+
 def test_nothing_to_learn(spark, documents):
     assert language_model.score_documents(documents([])).count() == 0
     doc = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 7 == 2)

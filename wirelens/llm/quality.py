@@ -17,8 +17,12 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 SYMBOLS = np.zeros(256, bool)
 SYMBOLS[list(b"#*$%&|<>")] = True
 PIECE = 2 << 20
-RESULT = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, score double, kept boolean"
-DEFAULTS = {"threshold": -0.15, "buckets": 1 << 16, "longest": 2, "least_words": 50, "most_repeated": 0.5, "max_trusted": 200_000}
+RESULT = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, score double, toxicity double, kept boolean"
+DEFAULTS = {"threshold": -0.15, "buckets": 1 << 16, "longest": 2, "least_words": 50, "most_repeated": 0.5, "max_trusted": 200_000, "most_toxic": 1.6, "toxic_buckets": 1 << 18}
+# ASCII letters in lower case, other ASCII signs than letters and digits blank.
+PLAIN = arrays.LOWER.copy()
+PLAIN[[c for c in range(33, 127) if not chr(c).isalnum()]] = 32
+STRONGEST = 3
 
 
 def _features(words: np.ndarray, first: np.ndarray, buckets: int, longest: int) -> tuple[np.ndarray, np.ndarray]:
@@ -40,6 +44,30 @@ def _lowered(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return arrays.word_hashes(data, starts, ends), first
 
 
+def _plain_words(column: pa.Array, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """Bucket of every word without signs, and the text it is in."""
+    data, offsets = arrays.text_bytes(column)
+    data = PLAIN[data]
+    starts, ends, first = arrays.word_spans(data, offsets)
+    return (arrays.word_hashes(data, starts, ends) % np.uint64(buckets)).astype(np.int64), np.repeat(np.arange(len(first) - 1), np.diff(first))
+
+
+def _once(found: np.ndarray, owner: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """Each bucket once a text."""
+    pairs = np.unique(owner * buckets + found)
+    return pairs % buckets, pairs // buckets
+
+
+def toxicity(column: pa.Array, weights: np.ndarray) -> np.ndarray:
+    """Mean weight of the ``STRONGEST`` different words of every text."""
+    found, owner = _plain_words(column, len(weights))
+    heavy = weights[found] > 0
+    found, owner = _once(found[heavy], owner[heavy], len(weights))
+    order = np.lexsort((-weights[found], owner))
+    top = np.arange(len(order)) - np.searchsorted(owner, owner) < STRONGEST
+    return np.bincount(owner[top], weights[found[order[top]]].astype(np.float64), len(column)) / STRONGEST
+
+
 def _twice(keys: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Of keys within their text: which occur twice or more, and which are not the first."""
     mixed = arrays.mix(keys ^ arrays.mix(doc.astype(np.uint64) + np.uint64(1)))
@@ -79,44 +107,61 @@ def base_statistics(column: pa.Array) -> dict[str, np.ndarray]:
     }
 
 
-def trusted_ids(labels: DataFrame, most: int) -> DataFrame:
-    """doc_id of trusted rows: quality 1 and not toxic, spread by hash to ``most`` rows or so if there are more."""
-    good = labels.where("quality = 1 and coalesce(toxic, 0) = 0 and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
-    bad = labels.where("quality = 0 or toxic = 1").select(F.col("doc_id").cast("long").alias("doc_id"))
-    good = good.join(bad, "doc_id", "left_anti")
-    found = good.count()
-    return good if found <= most else good.where(F.pmod(F.xxhash64("doc_id"), F.lit(found)) < most)
+def marked_ids(labels: DataFrame, most: int) -> DataFrame:
+    """doc_id and mark of labelled rows: 1 trusted (quality 1 and not toxic), 2 toxic; each spread by hash to ``most`` rows or so if there are more."""
+    ids = F.col("doc_id").cast("long").alias("doc_id")
+    good = labels.where("quality = 1 and coalesce(toxic, 0) = 0 and doc_id is not null").select(ids).distinct()
+    bad = labels.where("quality = 0 or toxic = 1").select(ids)
+    toxic = labels.where("toxic = 1 and doc_id is not null").select(ids).distinct()
+    both = good.join(bad, "doc_id", "left_anti").withColumn("mark", F.lit(1)).union(toxic.withColumn("mark", F.lit(2)))
+    found = {row["mark"]: row["count"] for row in both.groupBy("mark").count().collect()}
+    most_of = F.when(F.col("mark") == 1, F.lit(max(found.get(1, 0), most))).otherwise(F.lit(max(found.get(2, 0), most)))
+    return both.where(F.pmod(F.xxhash64("doc_id"), most_of) < most)
 
 
-def ratios(documents: DataFrame, trusted: DataFrame, buckets: int, longest: int) -> np.ndarray:
-    """Log of the target's probability over the raw corpus's, for each bucket, with one added to each count."""
+def ratios(documents: DataFrame, marked: DataFrame, buckets: int, longest: int, toxic_buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """Log ratios by bucket, counted in one pass: of n-grams between trusted text and the raw corpus, of words between toxic and trusted documents.
+
+    n-grams are multinomials with one added to each count. A word counts once a
+    document; trusted documents are scaled to as many as there are toxic ones, and
+    one is added to both, so that a word of a single toxic document weighs little.
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         raw, target = np.zeros(buckets, np.int64), np.zeros(buckets, np.int64)
+        # The last place counts documents.
+        clean, toxic = np.zeros(toxic_buckets + 1, np.int64), np.zeros(toxic_buckets + 1, np.int64)
         for batch in batches:
             for piece in arrays.slices(batch, "text", PIECE):
                 found, owner = _features(*_lowered(piece.column(0)), buckets, longest)
                 raw += np.bincount(found, minlength=buckets)
-                good = piece.column(1).to_numpy(zero_copy_only=False).astype(bool)
-                target += np.bincount(found[good[owner]], minlength=buckets)
-        full = np.flatnonzero(raw)
-        yield pa.RecordBatch.from_arrays([pa.array(full), pa.array(raw[full]), pa.array(target[full])], ["bucket", "raw", "target"])
-
-    # At most max_trusted ids.
-    marked = documents.join(F.broadcast(trusted.withColumn("trusted", F.lit(True))), "doc_id", "left").select("text", F.coalesce("trusted", F.lit(False)).alias("trusted"))
-    counts = marked.mapInArrow(count, "bucket long, raw long, target long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
-    raw, target = np.zeros(buckets), np.zeros(buckets)
-    # At most one row a bucket.
-    for row in counts.toLocalIterator():
-        raw[row["bucket"]], target[row["bucket"]] = row["raw"], row["target"]
-    if not target.sum():
-        return np.zeros(buckets, np.float32)
-    return np.log((target + 1) / (target.sum() + buckets) * (raw.sum() + buckets) / (raw + 1)).astype(np.float32)
+                mark = piece.column(1).to_numpy(zero_copy_only=False)
+                target += np.bincount(found[mark[owner] == 1], minlength=buckets)
+                for counts, which in ((clean, mark == 1), (toxic, mark == 2)):
+                    if which.any():
+                        words, _ = _once(*_plain_words(piece.column(0).filter(pa.array(which)), toxic_buckets), toxic_buckets)
+                        np.add.at(counts, words, 1)
+                        counts[-1] += which.sum()
+        for kind, (a, b) in enumerate(((raw, target), (toxic, clean))):
+            full = np.flatnonzero(a + b)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(full), kind, np.int32)), pa.array(full), pa.array(a[full]), pa.array(b[full])], ["kind", "bucket", "a", "b"])
+
+    # At most twice max_trusted ids.
+    texts = documents.join(F.broadcast(marked), "doc_id", "left").select("text", F.coalesce("mark", F.lit(0)).alias("mark"))
+    counts = texts.mapInArrow(count, "kind int, bucket long, a long, b long").groupBy("kind", "bucket").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+    # At most one row a bucket of either kind.
+    rows = counts.toArrow()
+    kind, bucket, a, b = (rows.column(c).to_numpy() for c in ("kind", "bucket", "a", "b"))
+    (raw, target), (toxic, clean) = [[np.bincount(bucket[kind == k], v[kind == k], n) for v in (a, b)] for k, n in ((0, buckets), (1, toxic_buckets + 1))]
+    good = np.log((target + 1) / (target.sum() + buckets) * (raw.sum() + buckets) / (raw + 1)) if target.sum() else np.zeros(buckets)
+    bad = np.log((toxic[:-1] + 1) / (clean[:-1] * toxic[-1] / max(clean[-1], 1) + 1))
+    return good.astype(np.float32), bad.astype(np.float32)
 
 
 def score_documents(
     documents: DataFrame, labels: DataFrame, threshold: float = DEFAULTS["threshold"], buckets: int = DEFAULTS["buckets"], longest: int = DEFAULTS["longest"],
     least_words: int = DEFAULTS["least_words"], most_repeated: float = DEFAULTS["most_repeated"], max_trusted: int = DEFAULTS["max_trusted"],
+    most_toxic: float = DEFAULTS["most_toxic"], toxic_buckets: int = DEFAULTS["toxic_buckets"],
 ) -> DataFrame:
     """Base counts of every document, whether these fail, its score and whether it is kept.
 
@@ -127,17 +172,21 @@ def score_documents(
     of their ratio, so its length does not matter; it is kept if the score is
     ``threshold`` or more. The same documents always give the same answer.
 
+    A few toxic words do not move that mean, so a second ratio of hashed words, toxic
+    against trusted documents, is averaged over the three strongest different words
+    of a document, whatever its length; at ``most_toxic`` or more it is not kept.
+
     base_failed: fewer than ``least_words`` words, or more than ``most_repeated`` of
     its words in 3-word windows that occur twice in it. Such documents are not kept.
 
     Defined cases: null and empty texts have no words and fail; without trusted
-    documents every score is 0; repeated rows are scored alike and count each time;
+    documents every score is 0, without toxic labels every toxicity; repeated rows are scored alike and count each time;
     a null doc_id is never trusted; null labels are not trusted; an id labelled both
     ways is not trusted; only the named columns are read; an empty table gives no
     rows.
     """
-    judge = _judge(documents, labels, threshold, buckets, longest, least_words, most_repeated, max_trusted)
-    names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "score", "kept"]
+    judge = _judge(documents, labels, threshold, buckets, longest, least_words, most_repeated, max_trusted, most_toxic, toxic_buckets)
+    names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "score", "toxicity", "kept"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -164,19 +213,19 @@ def _texts(documents: DataFrame) -> DataFrame:
     return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
-def _judge(documents: DataFrame, labels: DataFrame, threshold: float, buckets: int, longest: int, least_words: int, most_repeated: float, max_trusted: int) -> Callable[[pa.Array], dict[str, np.ndarray]]:
+def _judge(documents: DataFrame, labels: DataFrame, threshold: float, buckets: int, longest: int, least_words: int, most_repeated: float, max_trusted: int, most_toxic: float, toxic_buckets: int) -> Callable[[pa.Array], dict[str, np.ndarray]]:
     """The verdict on a column of texts, by ratios counted over all documents."""
-    weights = ratios(_texts(documents), trusted_ids(labels, max_trusted), buckets, longest)
     # A number a bucket, whatever the corpus.
-    shared = documents.sparkSession.sparkContext.broadcast(weights)
+    shared = documents.sparkSession.sparkContext.broadcast(ratios(_texts(documents), marked_ids(labels, max_trusted), buckets, longest, toxic_buckets))
 
     def judge(column: pa.Array) -> dict[str, np.ndarray]:
-        out = base_statistics(column)
+        out, (good, bad) = base_statistics(column), shared.value
         found, owner = _features(*_lowered(column), buckets, longest)
         n = np.bincount(owner, minlength=len(column))
-        out["score"] = np.bincount(owner, shared.value[found].astype(np.float64), len(column)) / np.maximum(n, 1)
+        out["score"] = np.bincount(owner, good[found].astype(np.float64), len(column)) / np.maximum(n, 1)
         out["base_failed"] = (out["n_words"] < least_words) | (out["n_repeat_words"] > most_repeated * out["n_words"])
-        out["kept"] = ~out["base_failed"] & (out["score"] >= threshold)
+        out["toxicity"] = toxicity(column, bad)
+        out["kept"] = ~out["base_failed"] & (out["score"] >= threshold) & (out["toxicity"] < most_toxic)
         return out
 
     return judge

@@ -19,7 +19,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base counts of every document and whether it is kept by the log-likelihood ratio to labelled text."""
     return quality.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score")
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score", "toxicity")
 
 
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
