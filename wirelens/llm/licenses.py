@@ -193,8 +193,8 @@ def answer() -> str:
 
     def known(sentence: str) -> str:
         plain = f"trim(regexp_replace(lower({sentence}), '[^a-z0-9]+', ' ', 'g'))"
-        alike = " ".join(f"when contains({plain}, '{words}') then regexp_replace({plain}, '{pattern}', '{same}')" for words, pattern, same in SAME)
-        return f"case case {alike} else {plain} end {cases} end"
+        alike = " ".join(f"when contains(p, '{words}') then regexp_replace(p, '{pattern}', '{same}')" for words, pattern, same in SAME)
+        return f"list_transform(list_transform([{plain}], lambda p: case {alike} else p end), lambda k: case k {cases} end)[1]"
 
     # The first rule of a licence that matches gives its place.
     rules = ", ".join(f"case when contains(line, ' {' '.join(ids)} ') then '{name}' end" for name, ids in RULES)
