@@ -6,6 +6,7 @@ import re
 import zlib
 from collections import Counter
 
+import numpy as np
 import pyarrow as pa
 import pytest
 
@@ -54,7 +55,7 @@ def test_ratio_separates(spark, documents):
 
 @pytest.mark.parametrize("order", [1, 2, 3])
 def test_language_model(spark, documents, awkward, small_units, order):
-    rows = [*awkward, *((30 + i, "The cat sat. the CAT ran " * (i % 3) + f"x{i}") for i in range(30))]
+    rows = [*awkward, *((30 + i, "The cat sat. the CAT ran " * (i % 3 + 70 * (i == 17)) + f"x{i}") for i in range(30))]
     held = {r[0]: zlib.crc32(b"" if r[0] is None else str(r[0]).encode()) % 7 == 2 for r in rows}
     lines = [(r[0], [*(r[1] or "").encode().lower().split(), 0]) for r in rows]
     counts = [Counter() for _ in range(order)]
@@ -82,6 +83,27 @@ def test_language_model(spark, documents, awkward, small_units, order):
     assert got == wanted
 
 
+def test_automaton():
+    """Numbered states, arcs, failure arcs and the carried state, by hand; pieces of any length give the same."""
+    # Learned: a b a b c; read: a b d b c a b a (token numbers a b c d = 0 1 2 3).
+    words, counts = [0, 1, 3, 1, 2, 0, 1, 0], {(0,): 2, (1,): 2, (2,): 1, (0, 1): 2, (1, 0): 1, (1, 2): 1, (0, 1, 0): 1, (0, 1, 2): 1, (1, 0, 1): 1}
+    parts = []
+    for n in (1, 2, 3):
+        grams = [tuple(words[i:i + n]) for i in range(len(words) - n + 1)]
+        names = sorted(set(grams))
+        parts.append((np.arange(len(grams)), np.array([names.index(g) for g in grams]), np.array([counts.get(g, 0) for g in names])))
+    found = language_model.build(parts, 10.0, language_model.Totals(5, 3, 1, 2))
+    # States: empty, a, b, c, ab, ba, bc.
+    assert len(found.failure) == 1 + 3 + 3 and found.failure.tolist() == [0, 0, 0, 0, 2, 1, 3]
+    assert len(found.arcs) == 3 + 3 + 1 and (np.diff(found.arcs) > 0).all()
+    after, score = found.step(np.array([4, 4, 0]), np.array([0, 3, 3]))
+    assert after.tolist() == [5, 0, 0] and score[1] == found.penalty[4] + found.penalty[2] + found.penalty[0]
+    first = np.array([0, 6, 8])
+    whole = found.traverse(np.array(words), first, 2, piece=100)
+    for piece in (1, 2, 3, 5):
+        assert (found.traverse(np.array(words), first, 2, piece=piece) == whole).all()
+    assert len(found.traverse(np.zeros(0, int), np.array([0]), 2)) == 0
+
 
 def test_quality_against_dictionaries(spark, documents, awkward):
     """Scores, toxicity and verdicts by plain dictionaries of whole n-grams and words; so many buckets that few are shared."""

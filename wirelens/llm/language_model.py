@@ -18,6 +18,8 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 # Bytes of a hash that travel beside the bits of its bucket: of single tokens, of longer n-grams.
 WIDTHS = (6, 5)
+# Tokens of a text that are read in one go; the result is the same for any number.
+PIECE = 256
 END = np.uint64(0x5851F42D4C957F2D)
 TOTALS = "tokens long, types long, once long, twice long"
 RESULT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
@@ -76,18 +78,19 @@ def _tally(found: list[tuple[np.ndarray, np.ndarray]], learn: np.ndarray, bits:
 def score_documents(documents: DataFrame, order: int = 2, concentration: float = 200.0, folds: int = 7, fold: int = 2) -> DataFrame:
     """Log10 probability of every text under an n-gram model of the others.
 
-    The model is that of a backoff automaton, in closed form: contexts seen in training,
-    from the empty one (single tokens) to ``order - 1`` tokens, stand for its states,
-    but no states are numbered and none is carried along a text. After a context, a
-    token seen there has a probability that mixes its count with that after the next
-    shorter context; any other token backs off to the shorter one with the weight
-    ``concentration / (count + concentration)``. The weights of a context sum to one (hierarchical Dirichlet smoothing). Single tokens are
-    discounted, and what is taken off is the probability of an unseen token.
+    The model is a weighted backoff automaton. Its states are the contexts seen in
+    training, from the empty one to ``order - 1`` tokens. A token seen after a context
+    has an arc there, whose probability mixes its count with its probability after the
+    next shorter context; for any other token a failure arc with the weight
+    ``concentration / (count + concentration)`` leads to the shorter one. The
+    weights of a context sum to one (hierarchical Dirichlet smoothing). Single tokens are
+    discounted, and what is taken off is the probability of an unseen token. One walk
+    from left to right carries the state of a text and adds up the weights of its arcs.
 
-    The model is never held as a whole: units send their distinct n-grams with
+    The automaton is never held as a whole: units send their distinct n-grams with
     their counts, buckets add them up, and each unit gets back the counts of its own
-    n-grams that other units share. A unit then holds all contexts of its texts, and
-    mixes the counts of all lengths at every token of a unit at once.
+    n-grams that other units share. A unit then builds the part that its texts can
+    reach, and walks all of them token by token at once.
 
     Texts are lower-cased in A-Z and cut at white space; an end follows each, counted
     as a token. Learned are those whose ``crc32(doc_id as text) mod folds`` is not
@@ -136,17 +139,20 @@ def score_documents(documents: DataFrame, order: int = 2, concentration: float =
         out = held_out(texts.column("doc_id"), folds, fold)
         known = replies.column("bucket").to_numpy() >> bits
         of_all = []
-        for kind, (keys, count, where) in enumerate(_tally(grams(values, first, order), np.repeat(~out, np.diff(first)), bits)):
+        found = grams(values, first, order)
+        for kind, (keys, count, where) in enumerate(_tally(found, np.repeat(~out, np.diff(first)), bits)):
             shared, total = units.answered(replies.filter(pa.array(known == kind)), bits, _width(kind), np.int64)
             hit = units.among(keys, shared)
             count[hit] = total[np.searchsorted(shared, keys[hit])]
-            of_all.append(count[where])
-        base, score = _probabilities(of_all, first, concentration, totals)
+            of_all.append((found[kind][0] - kind, where, count))
+        seen = of_all[0][2][of_all[0][1]]
+        base = np.log10((seen + 1) / (totals.tokens + totals.types + 1))
+        score = build(of_all, concentration, totals).traverse(of_all[0][1], first, order - 1) if totals.tokens else np.zeros(len(base))
         n = len(texts)
         add_up = (lambda x: np.add.reduceat(x, first[:-1])) if n else (lambda x: x[:0])
         return pa.table({
             "doc_id": texts.column("doc_id"), "held_out": pa.array(out), "n_tokens": pa.array(np.diff(first).astype(np.int64)),
-            "n_known": pa.array(add_up((of_all[0] > 0).astype(np.int64))), "train_tokens": pa.array(np.full(n, totals.tokens, np.int64)),
+            "n_known": pa.array(add_up((seen > 0).astype(np.int64))), "train_tokens": pa.array(np.full(n, totals.tokens, np.int64)),
             "base_score": pa.array(add_up(base)), "score": pa.array(add_up(score)),
         })
 
@@ -154,18 +160,105 @@ def score_documents(documents: DataFrame, order: int = 2, concentration: float =
     return units.with_replies(documents, plan, replies, traverse, RESULT)
 
 
-def _probabilities(counts: list[np.ndarray], first: np.ndarray, concentration: float, totals: Totals) -> tuple[np.ndarray, np.ndarray]:
-    """Add-one and model log10 probability of every token; counts: of the n-grams of each length, by their starts."""
-    n, room = int(first[-1]), arrays.room(first, int(first[-1]))
-    base = np.log10((counts[0] + 1) / (totals.tokens + totals.types + 1))
-    if not totals.tokens:
-        return base, np.zeros(n)
-    unseen = totals.discount * totals.types / totals.tokens
-    chance = np.where(counts[0] > 0, (counts[0] - totals.discount) / totals.tokens, unseen)
-    for length in range(2, len(counts) + 1):
-        own = counts[length - 1]
-        # The context of the n-gram at a start is the next shorter n-gram there.
-        context = counts[length - 2][room[room >= length - 1] >= length]
-        last = np.flatnonzero(room >= length) + length - 1
-        chance[last] = np.where(context > 0, (own + concentration * chance[last]) / (context + concentration), chance[last])
-    return base, np.log10(chance)
+@dataclass(frozen=True)
+class Automaton:
+    """Weighted backoff automaton over the tokens of a unit; all weights are log10.
+
+    States are contexts seen in training: number 0 the empty one, then those of one
+    token, of two, and so on. An arc reads a token that training has seen after the
+    context, and leads to the longest context that is a state then. Where a state has no
+    arc for a token, its failure arc leads to the context without its first token
+    and reads nothing; the empty one has none and reads any unseen token instead.
+    """
+
+    types: int
+    arcs: np.ndarray  # state * types + token, ascending
+    target: np.ndarray
+    weight: np.ndarray
+    failure: np.ndarray  # by state
+    penalty: np.ndarray  # by state; that of the empty context is the weight of an unseen token
+
+    def step(self, state: np.ndarray, token: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """States after each has read its token, and the weights of the arcs taken."""
+        after, score, left = np.zeros(len(state), np.int64), np.zeros(len(state)), np.arange(len(state))
+        while len(left):
+            at, hit = _find(self.arcs, state * self.types + token[left])
+            after[left[hit]], score[left[hit]] = self.target[at[hit]], score[left[hit]] + self.weight[at[hit]]
+            left, state = left[~hit], state[~hit]
+            score[left] += self.penalty[state]
+            left, state = left[state > 0], self.failure[state[state > 0]]
+        return after, score
+
+    def traverse(self, words: np.ndarray, first: np.ndarray, lead: int, piece: int = PIECE) -> np.ndarray:
+        """Weight of every token, all texts read from left to right at once.
+
+        A state is no longer than ``lead`` tokens, so a long text may be read in pieces:
+        each first reads the ``lead`` tokens before it, which lead to the state that
+        a reader from the front would carry.
+        """
+        out, sizes = np.zeros(len(words)), np.diff(first)
+        pieces = -(-sizes // piece)
+        text = np.repeat(np.arange(len(sizes)), pieces)
+        begin = first[text] + piece * (np.arange(len(text)) - np.repeat(np.cumsum(pieces) - pieces, pieces))
+        size = np.minimum(begin + piece, first[text + 1]) - begin
+        # The longest come first, so those that go on are always the first ones.
+        longest = np.argsort(-size, kind="stable")
+        text, begin, size = text[longest], begin[longest], size[longest]
+        state = np.zeros(len(begin), np.int64)
+        for back in range(lead, 0, -1):
+            inside = begin - back >= first[text]
+            state[inside] = self.step(state[inside], words[begin[inside] - back])[0]
+        for ahead in range(size[0] if len(size) else 0):
+            going = np.searchsorted(-size, -ahead, "left")
+            at = begin[:going] + ahead
+            state, out[at] = self.step(state[:going], words[at])
+        return out
+
+
+def _find(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Place of each wanted value among ascending keys, and whether it is there."""
+    at = np.searchsorted(keys, wanted)
+    at[at == len(keys)] = 0
+    return at, (keys[at] == wanted) if len(keys) else np.zeros(len(wanted), bool)
+
+
+def build(grams_of: list[tuple[np.ndarray, np.ndarray, np.ndarray]], concentration: float, totals: Totals) -> Automaton:
+    """Automaton of the n-grams of a unit: for each length their starts, which of the distinct ones each is, and the training counts of those.
+
+    An arc exists for each n-gram with a count. Its probability mixes the count with that
+    of the arc for the same token from the next shorter context, which exists too.
+    """
+    order, types = len(grams_of), len(grams_of[0][2])
+    size = len(grams_of[0][0])
+    numbers, states = [], 1
+    for _, _, count in grams_of[:-1]:
+        numbers.append(np.where(count > 0, states - 1 + np.cumsum(count > 0), 0))
+        states += int((count > 0).sum())
+    failure, penalty = np.zeros(states, np.int64), np.zeros(states)
+    penalty[0] = np.log10(totals.discount * totals.types / totals.tokens)
+    word, below, of_shorter = grams_of[0][1], np.zeros(0), np.zeros(0, np.int64)
+    arcs, targets, weights = [], [], []
+    for n, (starts, where, count) in enumerate(grams_of, 1):
+        of_start, place = np.zeros(size, np.int64), np.zeros(len(count), np.int64)
+        of_start[starts], place[where] = where, starts
+        seen = np.flatnonzero(count > 0)
+        place, count_seen = place[seen], count[seen]
+        chance = np.zeros(len(count))
+        if n == 1:
+            source = shorter = np.zeros(len(seen), np.int64)
+            chance[seen] = (count_seen - totals.discount) / totals.tokens
+        else:
+            prefix, suffix = of_shorter[place], of_shorter[place + 1]
+            source, shorter = numbers[n - 2][prefix], numbers[n - 2][suffix]
+            chance[seen] = (count_seen + concentration * below[suffix]) / (grams_of[n - 2][2][prefix] + concentration)
+        target = shorter
+        if n < order:
+            target = numbers[n - 1][seen]
+            failure[target], penalty[target] = shorter, np.log10(concentration / (count_seen + concentration))
+        arcs.append(source * types + word[place + n - 1])
+        targets.append(target)
+        weights.append(np.log10(chance[seen]))
+        below, of_shorter = chance, of_start
+    keys = np.concatenate(arcs)
+    by_key = np.argsort(keys, kind="stable")
+    return Automaton(types, keys[by_key], np.concatenate(targets)[by_key], np.concatenate(weights)[by_key], failure, penalty)
