@@ -2,6 +2,7 @@
 
 import datetime as dt
 import ipaddress
+import random
 import struct
 import uuid
 
@@ -110,6 +111,58 @@ def test_parameters(spark):
     assert [r.v for r in found] == [c[3] for c in cases]
 
 
+def plain_fields(payload, at=0):
+    count, at, out = int.from_bytes(payload[at:at + 2], "big"), at + 2, []
+    for _ in range(count):
+        head = payload[at:at + 4]
+        size = int.from_bytes(head, "big", signed=len(head) == 4) if head else -1
+        at += 4
+        out.append(payload[at:at + size] if size >= 0 else None)
+        at += max(size, 0)
+    return out
+
+
+def plain_names(payload):
+    at, out = 2, []
+    for _ in range(int.from_bytes(payload[:2], "big")):
+        end = payload.find(b"\0", at)
+        end = max(at, len(payload)) if end < 0 else end
+        out.append(payload[at:end].decode("utf-8", "replace"))
+        at = end + 19
+    return out
+
+
+def test_lists_of_all_lengths(spark):
+    """Lists read by cursors over a whole batch against one payload at a time: whole, cut short anywhere, malformed, empty, null."""
+    rng = random.Random(3)
+    rows = []
+    for i in range(60):
+        cells = [None if rng.random() < 0.2 else rng.randbytes(rng.choice((0, 1, 3, 300))) for _ in range(rng.choice((0, 1, 2, 9, 70)))]
+        data = row(*cells)[2]
+        named = columns(*[rng.choice(("", "id", "größe", "n" * 40)) for _ in range(rng.randrange(5))])[2]
+        bound = bind(rng.choice(("", "stmt", "größe")), [rng.choice((0, 1, -3)) for _ in range(rng.randrange(4))], *cells)[2]
+        rows += [(data, named, bound), *((data[:rng.randrange(len(data) + 1)], named[:rng.randrange(len(named) + 1)], bound[:rng.randrange(len(bound) + 1)]) for _ in range(2))]
+    rows += [(b"", b"", b""), (None, None, None), (b"\0\2\xff\xff\xff\xfe\0\0\0\1a", b"\0\1a\xffb\0", b"\0\0"), (b"\xff\xff\0", b"\0\3", b"x"), (rng.randbytes(50), rng.randbytes(50), rng.randbytes(50))]
+    frame = spark.createDataFrame([(i, *(x if x is None else bytearray(x) for x in r)) for i, r in enumerate(rows)], "i int, d binary, n binary, b binary")
+    found = frame.repartition(3).select("i", wire.decode_data_row(F.col("d")).alias("d"), wire.decode_row_description(F.col("n")).alias("n"), wire.decode_bind(F.col("b")).alias("b")).orderBy("i").collect()
+
+    def plain_bind(payload):
+        at, names = 0, []
+        for _ in range(2):
+            end = payload.find(b"\0", at)
+            end = max(len(payload), at) if end < 0 else end
+            names.append(payload[at:end].decode("utf-8", "replace"))
+            at = end + 1
+        count, at = int.from_bytes(payload[at:at + 2], "big"), at + 2
+        codes = [payload[at + 2 * k:at + 2 * k + 2] for k in range(count)]
+        return *names, [int.from_bytes(c, "big", signed=len(c) == 2) if c else None for c in codes], plain_fields(payload, at + 2 * count)
+
+    for got, (d, n, b) in zip(found, rows, strict=True):
+        assert got.d == (None if d is None else plain_fields(d)) and got.n == (None if n is None else plain_names(n))
+        assert tuple(got.b) == ((None,) * 4 if b is None else plain_bind(b))
+    assert frame.where("i < 0").select(wire.decode_data_row(F.col("d"))).count() == 0
+
+
 @pytest.mark.parametrize("tag, rows", [("INSERT 0 5", 5), ("BEGIN", 0), ("", 0), ("SELECT  7 ", 7), ("X 1.5", 0), ("COPY -1", -1)])
 def test_rows_affected(spark, tag, rows):
     assert spark.range(1).select(wire.rows_affected(F.lit(tag))).head()[0] == rows

@@ -9,10 +9,11 @@ from __future__ import annotations
 import sys
 from collections.abc import Callable
 
+import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, functions as F
-from pyspark.sql.types import ArrayType, BinaryType, StringType
+from pyspark.sql.types import ArrayType, BinaryType, LongType, StringType, StructType
 
 from . import text
 
@@ -23,6 +24,8 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 BOOL, BYTEA, INT8, INT2, INT4, OID, TIMESTAMP, TIMESTAMPTZ, UUID = 16, 17, 20, 21, 23, 26, 1114, 1184, 2950
 WIRE_EPOCH_US = 946_684_800_000_000
 
+BIND = (StructType().add("portal", BinaryType()).add("statement_name", BinaryType())
+        .add("format_codes", ArrayType(LongType())).add("params", ArrayType(BinaryType())))
 DEFAULT_ERROR = "PostgreSQL error"
 NULL_TEXT = "NULL"
 
@@ -88,61 +91,128 @@ def _numbers(payload: Column, offset: Column, count: Column, width: int, signed:
         s["n"] > 0, F.transform(F.sequence(s["at"], s["at"] + (s["n"] - 1) * width, F.lit(width)), read)).otherwise(none))
 
 
-def _read_fields(payload: bytes, at: int) -> list[bytes | None]:
-    """A count, then byte strings with their length before them; length -1 is null.
+class _Payloads:
+    """A batch of payloads as one run of bytes, read at a cursor for each payload.
 
-    Each item starts where the one before it ends, so the list is read once from
-    front to back. Where a payload ends too early, what is missing is null.
+    A cursor moves through all payloads at once: a list of n items takes n steps for
+    the whole batch, and no payload becomes an object of its own. What lies behind the
+    end of a payload reads as no bytes.
     """
-    out: list[bytes | None] = []
-    count, at = int.from_bytes(payload[at:at + 2], "big"), at + 2
-    for _ in range(count):
-        head = payload[at:at + 4]
-        size = int.from_bytes(head, "big", signed=len(head) == 4) if head else -1
-        at += 4
-        out.append(payload[at:at + size] if size >= 0 else None)
-        at += max(size, 0)
-    return out
+
+    def __init__(self, column: pa.Array) -> None:
+        _, offsets, data = column.buffers()
+        edges = np.frombuffer(offsets, np.int32)[column.offset:column.offset + len(column) + 1].astype(np.int64)
+        self.bytes = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(1, np.uint8)
+        self.missing = np.asarray(column.is_null())
+        self.at, self.end = edges[:-1].copy(), np.where(self.missing, edges[:-1], edges[1:])
+        self._nuls: np.ndarray | None = None
+
+    def number(self, rows: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+        """Big-endian number of up to ``width`` bytes, and how many bytes there are; cursors go ``width`` on."""
+        at = self.at[rows]
+        there = np.clip(self.end[rows] - at, 0, width)
+        value = np.zeros(len(rows), np.int64)
+        for i in range(width):
+            byte = self.bytes[np.minimum(at + i, len(self.bytes) - 1)]
+            value = np.where(i < there, value * 256 + byte, value)
+        self.at[rows] = at + width
+        return value, there
+
+    def string(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Start and size of the text up to the next NUL; cursors go behind that."""
+        if self._nuls is None:
+            self._nuls = np.append(np.flatnonzero(self.bytes == 0), np.iinfo(np.int64).max)
+        at, end = self.at[rows], self.end[rows]
+        stop = np.maximum(np.minimum(self._nuls[np.searchsorted(self._nuls, at)], end), at)
+        self.at[rows] = stop + 1
+        return at, stop - at
+
+    def values(self, starts: np.ndarray, sizes: np.ndarray) -> pa.Array:
+        """Byte strings by start and size; size -1 is null."""
+        kept = np.maximum(sizes, 0)
+        ends = np.concatenate([[0], np.cumsum(kept)])
+        copied = self.bytes[np.repeat(starts - ends[:-1], kept) + np.arange(ends[-1])]
+        valid = pa.array(sizes >= 0).buffers()[1]
+        return pa.Array.from_buffers(pa.binary(), len(sizes), [valid, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(copied)])
+
+    def lists(self, counts: np.ndarray, items: pa.Array) -> pa.Array:
+        """One list for each payload, null for a missing one."""
+        edges = np.concatenate([[0], np.cumsum(counts)])
+        return pa.ListArray.from_arrays(pa.array(edges, pa.int32()), items, mask=pa.array(self.missing))
+
+    def codes(self) -> pa.Array:
+        """A count, then signed numbers of two bytes; what is missing is null."""
+        rows = np.arange(len(self.at))
+        counts, _ = self.number(rows, 2)
+        first, behind = np.cumsum(counts) - counts, self.at + 2 * counts
+        found, known = np.zeros(int(counts.sum()), np.int64), np.zeros(int(counts.sum()), bool)
+        place = 0
+        while len(rows := rows[(counts[rows] > place) & (self.at[rows] < self.end[rows])]):
+            slot = first[rows] + place
+            value, _ = self.number(rows, 2)
+            found[slot], known[slot] = np.where(value >= 1 << 15, value - (1 << 16), value), True
+            place += 1
+        self.at = behind
+        return self.lists(counts, pa.array(found, mask=~known))
+
+    def fields(self) -> pa.Array:
+        """A count, then byte strings with their length before them; length -1 is null.
+
+        Where a payload ends too early, what is missing is null.
+        """
+        rows = np.arange(len(self.at))
+        counts, _ = self.number(rows, 2)
+        first = np.cumsum(counts) - counts
+        starts, sizes = np.zeros(int(counts.sum()), np.int64), np.full(int(counts.sum()), -1, np.int64)
+        place = 0
+        while len(rows := rows[(counts[rows] > place) & (self.at[rows] < self.end[rows])]):
+            length, there = self.number(rows, 4)
+            length = np.where((there == 4) & (length >= 1 << 31), -1, length)
+            at, slot = self.at[rows], first[rows] + place
+            # A payload that ends early holds what is there of the field.
+            starts[slot] = at
+            sizes[slot] = np.where(length < 0, -1, np.clip(self.end[rows] - at, 0, length))
+            self.at[rows] = at + np.maximum(length, 0)
+            place += 1
+        return self.lists(counts, self.values(starts, sizes))
 
 
 @F.arrow_udf(ArrayType(BinaryType()))
 def _cells_of(payloads: pa.Array) -> pa.Array:
     """Fields of a batch of data rows."""
-    return pa.array([None if x is None else _read_fields(x, 0) for x in payloads.to_pylist()], pa.list_(pa.binary()))
+    return _Payloads(payloads).fields()
 
 
-@F.arrow_udf(ArrayType(BinaryType()))
-def _params_of(payloads: pa.Array) -> pa.Array:
-    """Parameters of a batch of binds: behind two names and the format codes."""
-    out = []
-    for payload in payloads.to_pylist():
-        if payload is None:
-            out.append(None)
-            continue
-        at = 0
-        for _ in range(2):
-            end = payload.find(b"\0", at)
-            at = (len(payload) if end < 0 else end) + 1
-        out.append(_read_fields(payload, at + 2 + 2 * int.from_bytes(payload[at:at + 2], "big")))
-    return pa.array(out, pa.list_(pa.binary()))
+@F.arrow_udf(BIND)
+def _bind_of(payloads: pa.Array) -> pa.Array:
+    """A batch of binds: two names, format codes, parameters."""
+    batch = _Payloads(payloads)
+    rows = np.arange(len(payloads))
+    columns = [batch.values(*batch.string(rows)) for _ in range(2)] + [batch.codes(), batch.fields()]
+    names = ["portal", "statement_name", "format_codes", "params"]
+    return pa.StructArray.from_arrays(columns, names, mask=pa.array(batch.missing))
 
 
 @F.arrow_udf(ArrayType(StringType()))
 def _names_of(payloads: pa.Array) -> pa.Array:
     """Names of a batch of row descriptions: each ends with NUL and has 18 bytes of detail."""
-    out = []
-    for payload in payloads.to_pylist():
-        if payload is None:
-            out.append(None)
-            continue
-        row, at = [], 2
-        for _ in range(int.from_bytes(payload[:2], "big")):
-            end = payload.find(b"\0", at)
-            end = max(at, len(payload)) if end < 0 else end
-            row.append(payload[at:end].decode("utf-8", "replace"))
-            at = end + 19
-        out.append(row)
-    return pa.array(out, pa.list_(pa.string()))
+    batch = _Payloads(payloads)
+    rows = np.arange(len(payloads))
+    counts, _ = batch.number(rows, 2)
+    first = np.cumsum(counts) - counts
+    starts, sizes = np.zeros(int(counts.sum()), np.int64), np.zeros(int(counts.sum()), np.int64)
+    place = 0
+    while len(rows := rows[(counts[rows] > place) & (batch.at[rows] < batch.end[rows])]):
+        slot = first[rows] + place
+        starts[slot], sizes[slot] = batch.string(rows)
+        batch.at[rows] += 18
+        place += 1
+    names = batch.values(starts, sizes)
+    try:
+        names = names.cast(pa.string())
+    except pa.ArrowInvalid:  # malformed text
+        names = pa.array([x.decode("utf-8", "replace") for x in names.to_pylist()], pa.string())
+    return batch.lists(counts, names)
 
 
 def decode_query(payload: Column) -> Column:
@@ -171,12 +241,9 @@ def decode_describe(payload: Column) -> Column:
 
 
 def decode_bind(payload: Column) -> Column:
-    head = _let(_let(_two_names(payload), lambda h: F.struct(
-        h["a"].alias("a"), h["b"].alias("b"), h["at"].alias("at"), uint16(payload, h["at"]).alias("codes"))), lambda head: F.struct(
-        utf8(head["a"]).alias("portal"), utf8(head["b"]).alias("statement_name"),
-        _numbers(payload, head["at"] + 2, head["codes"], 2, signed=True).alias("format_codes")))
-    return F.struct(head["portal"].alias("portal"), head["statement_name"].alias("statement_name"),
-                    head["format_codes"].alias("format_codes"), _params_of(payload).alias("params"))
+    bind = _bind_of(payload)
+    return F.struct(utf8(bind["portal"]).alias("portal"), utf8(bind["statement_name"]).alias("statement_name"),
+                    bind["format_codes"].alias("format_codes"), bind["params"].alias("params"))
 
 
 def decode_row_description(payload: Column) -> Column:
