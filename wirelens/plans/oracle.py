@@ -118,6 +118,37 @@ paired as (select o.connection_id, o.opened::bigint as rank, o.frame_no, o.captu
       on o.connection_id = c.connection_id and o.opened = c.closed where o.up = 1)"""
 
 
+# Responses within the usual limits of a preview; each row shows its number and a null word.
+_CAPTURED = f"""
+arrived as (select connection_id, (closed + 1)::bigint as rank, frame_no, kind, arg from queue
+    where kind in ('DataRow','RowDesc') and depth > 0),
+placed as (select *, row_number() over (partition by connection_id, rank order by frame_no) as at_row from arrived where kind = 'DataRow'),
+answered as (select connection_id, rank, count(*) as response_total_rows, cast(sum(length(arg) + 4) as bigint) as response_total_bytes,
+    string_agg(arg || ',NULL', ';' order by frame_no) filter (where at_row <= {TRACE.max_preview_rows}) as response_rows,
+    count(*) > {TRACE.max_preview_rows} as response_truncated from placed group by 1, 2),
+named as (select connection_id, rank, 'col' || max_by(arg, frame_no) as response_columns from arrived where kind = 'RowDesc' group by 1, 2),
+marked as (select *, case when query like 'BEGIN%' then 'BEGIN' when query like 'COMMIT%' then 'COMMIT' end as ctl from paired),
+running as (select *, count(*) filter (where ctl = 'BEGIN') over (partition by connection_id order by frame_no) as begins,
+    last_value(ctl ignore nulls) over (partition by connection_id order by frame_no rows between unbounded preceding and 1 preceding) as last_ctl from marked),
+basics as (select *, coalesce(ctl, case when extended then 'Execute' else 'Query' end) as operation, (completed_us - captured_us) / 1000.0 as duration_ms,
+    case when ctl = 'BEGIN' or last_ctl = 'BEGIN' then connection_id || ':' || begins else '' end as tx_id,
+    row_number() over (order by completed_us, connection_id, rank) as sequence,
+    query like 'SELECT%' as candidate, {norm('query')} as template, case when arg <> '' then arg else query end as sig from running),
+scoped as (select *, case when tx_id <> '' then tx_id else connection_id end as scope from basics),
+hits as (select a.sequence, count(*) as h, count(distinct b.sig) as d from scoped a join scoped b on a.candidate and b.candidate and a.scope = b.scope
+    and a.template = b.template and b.sequence <= a.sequence and b.captured_us >= a.captured_us - {WINDOW_US} group by 1)"""
+
+
+def captured() -> str:
+    return f"""with {_MESSAGES},{_CAPTURED}
+select b.connection_id || '-' || b.rank as event_id, sequence, b.connection_id, operation, query, arg as args, captured_us as started_us, duration_ms, error, status_tag,
+    rows_affected, tx_id, duration_ms >= 100 as slow, coalesce(h, 0)::bigint as n_plus_1_hits, coalesce(d, 0)::bigint as n_plus_1_distinct_args,
+    coalesce(h >= 5 and d >= 2, false) as n_plus_1, coalesce(response_total_rows, 0) as response_total_rows, coalesce(response_total_bytes, 0)::bigint as response_total_bytes,
+    coalesce(response_rows, '') as response_rows, coalesce(response_columns, '') as response_columns, coalesce(response_truncated, false) as response_truncated
+from scoped b left join hits using (sequence) left join answered a on a.connection_id = b.connection_id and a.rank = b.rank
+    left join named n on n.connection_id = b.connection_id and n.rank = b.rank"""
+
+
 def events(select: str) -> str:
     return f"with {_EVENTS} {select}"
 

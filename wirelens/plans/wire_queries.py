@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions import text, wire
-from ..operators import analytics, assemble, compare, decode
+from ..operators import analytics, assemble, capture, compare, decode
 from ..operators.materialize import new_path
 from ..options import Options
 from ..sources import readers
@@ -330,6 +330,37 @@ over("asm17_field_limits", f"select doc_id, md5({O.truncate('text', 20000)}) as
          "doc_id", _md5(F.col("query")).alias("query"), _md5(F.get("args", F.lit(0))).alias("arg"),
          _md5(text.truncate_text(F.col("text"), 200)).alias("cell")), _documents)
 
+# --- the whole way from frames ---------------------------------------------------------------------
+
+
+def _captured(spark: SparkSession, folder: str) -> DataFrame:
+    """Every message of the fixture as a frame; sizes in front of lists as the wire has them."""
+    name, statement, arg = (_text(F.col(c)) for c in ("statement_name", "query", "arg"))
+    nul, one = _raw(NUL), _raw("0001")
+    type_id = _int(F.get("type_ids", F.lit(0)), 4)
+    # Side and letter of each kind of message.
+    frames = {
+        "Query": ("c", "Q", F.concat(statement, nul)), "Parse": ("c", "P", F.concat(name, nul, statement, nul, one, type_id)),
+        "Describe": ("c", "D", F.concat(_text("S"), name, nul)),
+        "Bind": ("c", "B", F.concat(nul, name, nul, _raw("0000"), one, _sized(arg))),
+        "Execute": ("c", "E", _raw(NUL * 5)), "ParamDesc": ("s", "t", F.concat(one, type_id)),
+        "RowDesc": ("s", "T", F.concat(one, _text("col"), arg, _raw(NUL * 19))),
+        "DataRow": ("s", "D", F.concat(_raw("0002"), _sized(arg), _sized(_text("NULL")))),
+        "Complete": ("s", "C", F.concat(_text(F.col("tag")), nul)),
+        "Error": ("s", "E", F.concat(_text("SERROR"), nul, _text("Mfailed "), arg, _raw(NUL * 2))), "Ready": ("s", "Z", _text("I")),
+    }
+    side = letter = body = F
+    for kind, (s, m, payload_) in frames.items():
+        side, letter, body = side.when(F.col("kind") == kind, s), letter.when(F.col("kind") == kind, m), body.when(F.col("kind") == kind, payload_)
+    return messages(spark, folder).select("connection_id", "frame_no", "captured_us", side.alias("direction"), letter.alias("msg_type"), body.alias("payload"))
+
+
+over("path1_frames_to_events", O.captured(), lambda frames: capture.frames_to_events(frames, TRACE)[0].select(
+    "event_id", "sequence", "connection_id", "operation", "query", F.array_join("args", "|").alias("args"), "started_us", "duration_ms",
+    "error", "status_tag", "rows_affected", "tx_id", "slow", "n_plus_1_hits", "n_plus_1_distinct_args", "n_plus_1", "response_total_rows",
+    "response_total_bytes", F.array_join(F.transform("response_rows", lambda r: F.array_join(r, ",")), ";").alias("response_rows"),
+    F.array_join("response_columns", ",").alias("response_columns"), "response_truncated"), _captured)
+
 # --- scalars on documents and literals -----------------------------------------------------------
 
 over("sca1_truncate", f"select doc_id, {O.truncate('text', 100)} as cut, left(text, 10) as plain, md5(text) as off from documents",
