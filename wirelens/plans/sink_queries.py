@@ -242,15 +242,30 @@ def _console(spark: SparkSession, folder: str) -> DataFrame:
 # --- streams: files of some days each, in order -------------------------------------------------
 
 DAY_US = 86_400_000_000
+PART_ROWS = 1 << 17
 LATE = "2 days"
 
 
 def _in_parts(spark: SparkSession, rows: DataFrame, at: str, order: str, days: int = 5) -> DataFrame:
-    """A stream that reads files of some days each, in no particular order of time."""
-    path = new_path(spark, "parts")
-    placed = rows.withColumn("part", F.floor(F.col(at) / (days * DAY_US)))
-    placed.repartition("part").sortWithinPartitions("part", order).write.partitionBy("part").parquet(path)
-    return readers.stream_events(spark, f"{path}/*", rows.schema)
+    """A stream whose batches are some days each, the earliest first; rows without a time come before all.
+
+    The source takes files by the time they were written, so the parts are written one
+    after another. A part is as many files as the largest one needs, each of about
+    PART_ROWS rows in the order of ``order``; where rows are too few, empty files fill up.
+    """
+    path, width = new_path(spark, "parts"), days * DAY_US
+    # One row for some days.
+    sizes = rows.groupBy((F.col(at) - F.pmod(F.col(at), F.lit(width))).alias("start")).count().orderBy(F.asc_nulls_first("start")).collect()
+    files = max([1, *(-(-r["count"] // PART_ROWS) for r in sizes)])
+    for place, r in enumerate(sizes):
+        own = rows.where(F.col(at).isNull() if r["start"] is None else F.col(at).between(r["start"], r["start"] + width - 1))
+        folder = f"{path}/part={place}"
+        own.repartition(files, order).sortWithinPartitions(order).write.parquet(folder)
+        for _ in range(files - len(spark.read.schema(rows.schema).parquet(folder).inputFiles())):
+            spark.createDataFrame([], rows.schema).coalesce(1).write.mode("append").parquet(folder)
+    if not sizes:
+        spark.createDataFrame([], rows.schema).coalesce(1).write.parquet(f"{path}/part=0")
+    return readers.stream_events(spark, f"{path}/*", rows.schema, files)
 
 
 def _run(spark: SparkSession, rows: DataFrame, mode: str = "append") -> tuple[str, int]:
@@ -289,7 +304,7 @@ def _settled(spark: SparkSession, rows: DataFrame, at: str, make) -> settled.Tab
 
 
 def _enriched(spark: SparkSession, folder: str) -> DataFrame:
-    rows = settled.Enrichment.rows(_in_parts(spark, trace_tx(spark, folder), "started_us", "sequence"), TRACE)
+    rows = settled.Enrichment.rows(_in_parts(spark, materialize(trace_tx(spark, folder)), "started_us", "sequence"), TRACE)
     return _settled(spark, rows, "started_us", lambda tables: settled.Enrichment(tables, TRACE)).all("events")
 
 
@@ -306,7 +321,7 @@ def _str1_filtered(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _nplus1(spark: SparkSession, folder: str) -> DataFrame:
-    rows = settled.NPlusOne.rows(_in_parts(spark, trace_tx(spark, folder), "started_us", "sequence"), TRACE)
+    rows = settled.NPlusOne.rows(_in_parts(spark, materialize(trace_tx(spark, folder)), "started_us", "sequence"), TRACE)
     return _settled(spark, rows, "started_us", lambda tables: settled.NPlusOne(tables, TRACE)).all("hits")
 
 
@@ -330,13 +345,13 @@ _TTL_US = 6 * 3_600_000_000
         from ev)) group by connection_id, operation, life"""))
 def _str10(spark: SparkSession, folder: str) -> DataFrame:
     steps = []
-    rows = _in_parts(spark, trace_tx(spark, folder), "started_us", "sequence").select("connection_id", "operation", "started_us")
+    rows = _in_parts(spark, materialize(trace_tx(spark, folder)), "started_us", "sequence").select("connection_id", "operation", "started_us")
     _settled(spark, rows, "started_us", lambda tables: steps.append(settled.KeyLives(tables, ["connection_id", "operation"], "connection_id string, operation string", "started_us", _TTL_US)) or steps[0])
     return steps[0].lives()
 
 
 def _assembled(spark: SparkSession, rows: DataFrame, idle_us: int) -> DataFrame:
-    stream = _in_parts(spark, rows, "captured_us", "frame_no")
+    stream = _in_parts(spark, materialize(rows), "captured_us", "frame_no")
     return _settled(spark, stream, "captured_us", lambda tables: settled.Assembly(tables, TRACE, idle_us)).all("events")
 
 
