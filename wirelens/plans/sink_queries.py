@@ -284,13 +284,14 @@ def _read(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("basePath", path).parquet(f"{path}/batch=*").drop("batch")
 
 
-def _event_stream(spark: SparkSession, folder: str) -> DataFrame:
-    return _in_parts(spark, trace(spark, folder), "started_us", "sequence")
+def _event_stream(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
+    """The event table as a stream; of the named columns where only those are wanted."""
+    return _in_parts(spark, trace(spark, folder).select(*(columns or "*")), "started_us", "sequence")
 
 
 @add("src5_event_stream", O.events("select sequence, started_us, query from ev"))
 def _source(spark: SparkSession, folder: str) -> DataFrame:
-    out, _ = _run(spark, _event_stream(spark, folder).select("sequence", "started_us", "query"))
+    out, _ = _run(spark, _event_stream(spark, folder, "sequence", "started_us", "query"))
     return _read(spark, out)
 
 
