@@ -1,6 +1,7 @@
 """Near-duplicates and decontamination against all pairs."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -98,3 +99,28 @@ def test_leaks(spark, documents, monkeypatch):
     assert clean.columns == docs.columns and sorted(r.doc_id for r in clean.collect()) == [2, 4, 6, 7]
     assert decontaminate.find_leaks(docs, bench.limit(0)).count() == 0
     assert decontaminate.find_leaks(documents([]), bench).count() == 0
+
+
+def test_space_of_all_documents(spark, documents, monkeypatch):
+    """More than half a million words: every document counts, and the space holds what the exact singular vectors do."""
+    monkeypatch.setattr(decontaminate, "RANK", 12)
+    monkeypatch.setattr(decontaminate, "FIT_WORDS", 1 << 14)
+    rng = np.random.default_rng(3)
+    topics = [[f"t{k}x{i}" for i in range(12)] for k in range(12)]
+    texts = [" ".join(rng.choice(topics[i % 12], 1800)) for i in range(330)]
+    docs = documents([*enumerate(texts), (None, None), (331, "")]).repartition(3).select("text")
+    weight, _ = decontaminate.weights(docs)
+    spread = decontaminate.spread(docs, weight)
+    parts = []
+    for text in texts:
+        terms, starts = decontaminate._passages(*decontaminate._tokens(pa.array([text])))
+        parts += [np.bincount(x, minlength=decontaminate.TERMS) for x in np.split(terms, starts[1:])]
+    used = np.flatnonzero(weight * np.sum(parts, axis=0))
+    passages = np.array([x[used] for x in parts]) * weight[used].astype(np.float64)
+    wanted = passages.T @ (passages @ decontaminate._directions()[used].astype(np.float64))
+    assert np.allclose(spread[used], wanted, rtol=1e-3, atol=1e-3 * np.abs(wanted).max())
+    assert len(np.flatnonzero(spread.any(axis=1))) == len(used)
+    space = decontaminate.latent_space(spread, (np.zeros(0, np.int64), np.zeros(1, np.int64)), weight)
+    held = np.linalg.norm(passages @ space[used]) ** 2
+    best = (np.linalg.svd(passages, compute_uv=False)[:12] ** 2).sum()
+    assert space.shape[1] == 12 and held > 0.99 * best

@@ -21,6 +21,9 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 TERMS = 1 << 15
 BLOCK = 16  # words of a block; windows are whole blocks
 FIT_PASSAGE = 64
+FIT_WORDS = 1 << 21  # words whose passages are multiplied at a time
+FIT_TASKS = 64
+SEED = 7
 ITEMS = 256  # benchmark items searched in one pass
 RANK = 256
 ITEM_WEIGHT = 30.0
@@ -98,7 +101,7 @@ def _passages(words: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndar
 def _times(terms: np.ndarray, starts: np.ndarray, weight: np.ndarray, right: np.ndarray) -> np.ndarray:
     """Passages by terms, times a matrix of terms by dimensions."""
     out = np.zeros((len(starts), right.shape[1]), np.float32)
-    ends = np.concatenate([starts[1:], [len(terms)]])
+    ends = np.append(starts, len(terms))[1:]
     for i, (a, b) in enumerate(zip(starts, ends, strict=True)):
         own = terms[a:b]
         out[i] = weight[own] @ right[own]
@@ -108,10 +111,10 @@ def _times(terms: np.ndarray, starts: np.ndarray, weight: np.ndarray, right: np.
 def _back(terms: np.ndarray, starts: np.ndarray, weight: np.ndarray, left: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Terms by passages, times a matrix of passages by dimensions: the terms that occur, and their rows."""
     owner = np.repeat(np.arange(len(starts)), np.diff(np.concatenate([starts, [len(terms)]])))
-    order = np.argsort(terms, kind="stable")
+    order = np.argsort(terms.astype(np.uint16), kind="stable")
     opens = np.flatnonzero(np.concatenate([[True], terms[order][1:] != terms[order][:-1]])) if len(terms) else np.zeros(0, np.int64)
     out = np.zeros((len(opens), left.shape[1]), np.float32)
-    for i, (a, b) in enumerate(zip(opens, np.concatenate([opens[1:], [len(terms)]]), strict=True)):
+    for i, (a, b) in enumerate(zip(opens, np.append(opens, len(terms))[1:], strict=True)):
         own = order[a:b]
         out[i] = weight[terms[own]] @ left[owner[own]]
     return terms[order][opens], out
@@ -138,70 +141,96 @@ def _orthonormal(base: np.ndarray) -> np.ndarray:
     return base
 
 
-def latent_space(sample: DataFrame, items: tuple[np.ndarray, np.ndarray], weight: np.ndarray, seed: int = 7) -> np.ndarray:
+def _gram(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """left.T @ right in double precision, some rows at a time."""
+    out = np.zeros((left.shape[1], right.shape[1]))
+    for at in range(0, len(left), ROWS):
+        out += left[at:at + ROWS].astype(np.float64).T @ right[at:at + ROWS]
+    return out
+
+
+def _directions() -> np.ndarray:
+    return np.random.default_rng(SEED).standard_normal((TERMS, RANK + 8), dtype=np.float32)
+
+
+def spread(texts: DataFrame, weight: np.ndarray) -> np.ndarray:
+    """What all passages of all texts make of the random directions: the matrix of weighted passages, transposed, times itself, times them.
+
+    One pass over the texts. Tasks multiply their passages, some FIT_WORDS words at a
+    time; only matrices of terms by directions meet, in slices of terms, one from
+    each task. So there are as many tasks as cores, and FIT_TASKS at most.
+    """
+    context = texts.sparkSession.sparkContext
+    shared = context.broadcast(weight)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weight, right = shared.value, _directions()
+        out = np.zeros_like(right)
+
+        def take(held: list[tuple[np.ndarray, np.ndarray]]) -> None:
+            before = np.cumsum([0, *(len(terms) for terms, _ in held)])
+            terms, starts = np.concatenate([x for x, _ in held]), np.concatenate([x + n for (_, x), n in zip(held, before[:-1], strict=True)])
+            rows, found = _back(terms, starts, weight, _times(terms, starts, weight, right))
+            out[rows] += found
+
+        held, words = [], 0
+        for batch in batches:
+            for piece in arrays.slices(batch, "text", PIECE):
+                held.append(_passages(*_tokens(piece.column(0))))
+                words += len(held[-1][0])
+                if words >= FIT_WORDS:
+                    take(held)
+                    held, words = [], 0
+        if held:
+            take(held)
+        for at in range(0, len(out), ROWS):
+            if out[at:at + ROWS].any():
+                yield pa.RecordBatch.from_arrays([pa.array([at], pa.int64()), pa.array([out[at:at + ROWS].tobytes()], pa.binary())], ["at", "rows"])
+
+    def add(table: pa.Table) -> pa.Table:
+        total = np.sum([np.frombuffer(x.as_buffer(), np.float32) for x in table.column("rows")], axis=0, dtype=np.float32)
+        return pa.table({"at": table.column("at").slice(0, 1).cast(pa.int64()), "rows": pa.array([total.tobytes()], pa.binary())})
+
+    out = np.zeros((TERMS, RANK + 8), np.float32)
+    tasks = max(1, min(context.defaultParallelism, FIT_TASKS))
+    # Terms by directions at most.
+    for row in texts.select("text").coalesce(tasks).mapInArrow(run, "at long, rows binary").groupBy("at").applyInArrow(add, "at long, rows binary").toLocalIterator():
+        part = np.frombuffer(row["rows"], np.float32).reshape(-1, out.shape[1])
+        out[row["at"]:row["at"] + len(part)] = part
+    shared.destroy()
+    return out
+
+
+def latent_space(spread_out: np.ndarray, items: tuple[np.ndarray, np.ndarray], weight: np.ndarray) -> np.ndarray:
     """Orthonormal directions (terms by rank) in which the passages vary most: randomised singular vectors.
 
-    The matrix of weighted passages is sampled with random directions, passed through
-    once more to sharpen them, and rotated to its singular vectors. Tasks multiply
-    their passages; only matrices of terms by rank meet, in slices of terms.
+    ``spread_out`` is what the passages of all documents make of the random directions
+    (``spread``); those of the items are added. The result spans the space, and with
+    the directions themselves it also tells how much the passages vary along each
+    (Nystrom), so the documents need not be read again.
     """
-    context = sample.sparkSession.sparkContext
     own_terms, own_first = items
     own_starts = own_first[:-1][np.diff(own_first) > 0]
-
-    def product(right: np.ndarray, gram_only: bool) -> np.ndarray:
-        shared = context.broadcast((right, weight))
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            right, weight = shared.value
-            held, small = np.zeros_like(right), np.zeros((right.shape[1], right.shape[1]), np.float32)
-            for batch in batches:
-                for piece in arrays.slices(batch, "text", PIECE):
-                    terms, starts = _passages(*_tokens(piece.column(0)))
-                    left = _times(terms, starts, weight, right)
-                    if gram_only:
-                        small += left.T @ left
-                    else:
-                        rows, found = _back(terms, starts, weight, left)
-                        held[rows] += found
-            out = small if gram_only else held
-            for at in range(0, len(out), ROWS):
-                if out[at:at + ROWS].any():
-                    yield pa.RecordBatch.from_arrays([pa.array([at], pa.int64()), pa.array([out[at:at + ROWS].tobytes()], pa.binary())], ["at", "rows"])
-
-        def add(table: pa.Table) -> pa.Table:
-            total = np.sum([np.frombuffer(x.as_buffer(), np.float32) for x in table.column("rows")], axis=0, dtype=np.float32)
-            return pa.table({"at": table.column("at").slice(0, 1).cast(pa.int64()), "rows": pa.array([total.tobytes()], pa.binary())})
-
-        left = _times(own_terms, own_starts, weight, right) * ITEM_WEIGHT
-        if gram_only:
-            out = left.T @ left
-        else:
-            out = np.zeros_like(right)
-            rows, found = _back(own_terms, own_starts, weight, left)
-            out[rows] = found * ITEM_WEIGHT
-        summed = sample.mapInArrow(run, "at long, rows binary").groupBy("at").applyInArrow(add, "at long, rows binary")
-        # Terms by rank at most.
-        for row in summed.toLocalIterator():
-            part = np.frombuffer(row["rows"], np.float32).reshape(-1, right.shape[1])
-            out[row["at"]:row["at"] + len(part)] += part
-        shared.destroy()
-        return out
-
-    random = np.random.default_rng(seed).standard_normal((TERMS, RANK + 8), dtype=np.float32)
-    base = product(random, False)
+    random = _directions()
+    rows, found = _back(own_terms, own_starts, weight, _times(own_terms, own_starts, weight, random) * ITEM_WEIGHT)
+    sampled = spread_out.copy()
+    sampled[rows] += found * ITEM_WEIGHT
+    inner = _gram(random, sampled)
     del random
-    base = _orthonormal(base)
-    values, turn = np.linalg.eigh(product(base, True).astype(np.float64))
+    base = _orthonormal(sampled)
+    values, turn = np.linalg.eigh((inner + inner.T) / 2)
+    full = values > 1e-6 * values[-1]
+    half = _gram(base, sampled) @ (turn * np.where(full, 1 / np.sqrt(np.where(full, values, 1.0)), 0.0))
+    values, turn = np.linalg.eigh(half @ half.T)
     return _turned(base, turn[:, ::-1][:, :RANK])
 
 
-def _prepared(rows: list, weight: np.ndarray, sample: DataFrame) -> Items:
+def _prepared(rows: list, weight: np.ndarray, spread_out: np.ndarray) -> Items:
     rows = [x for x in rows if (x["text"] or "").encode().split()]
     rows.sort(key=lambda x: len(x["text"].encode().split()))
     words, first = _tokens(pa.array([x["text"] for x in rows], pa.string()))
     answers, answer_first = _tokens(pa.array([answer_of(x["text"]) for x in rows], pa.string()))
-    space = latent_space(sample, (_terms(words), first), weight)
+    space = latent_space(spread_out, (_terms(words), first), weight)
     by_term = space
     by_term *= weight[:, None]
     places, vectors = [], np.zeros((len(rows), RANK), np.float32)
@@ -310,12 +339,11 @@ def _blocks_of_items(documents: DataFrame, benchmark: DataFrame, fit_words: int)
         return
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     weight, total = weights(texts)
-    share = min(1.0, fit_words / max(total, 1))
-    sample = materialize(texts.where(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < F.lit(int(share * (1 << 20)))).select("text").coalesce(4))
+    spread_out = spread(texts, weight) * np.float32(min(1.0, fit_words / max(total, 1)))
     for low in range(0, n, ITEMS):
         rows = numbered.where((F.col("place") > low) & (F.col("place") <= low + ITEMS)).orderBy("place").collect()
         # Arrays and lists alone are broadcast: workers need not know this module to read them.
-        items = _prepared(rows, weight, sample)
+        items = _prepared(rows, weight, spread_out)
         yield context.broadcast(tuple(getattr(items, f.name) for f in fields(Items)))
 
 
@@ -323,9 +351,10 @@ def find_leaks(documents: DataFrame, benchmark: DataFrame, least: float = 0.18,
     """Benchmark items that documents hold: one row for each document and item.
 
     1. Words are hashed to terms, weighted by the inverse of the number of all
-       documents that have them. Passages of 64 words of a sample of documents
-       (about ``fit_words`` words, chosen by a hash of the text) and the items give a
-       latent space by a randomised singular value decomposition, items counting more.
+       documents that have them. Passages of 64 words of all documents and the items
+       give a latent space by a randomised singular value decomposition. Items count
+       more: however many words the documents have, together they count as
+       ``fit_words`` at most, or larger tables would leave the items no place in it.
     2. Every text is cut into blocks of 16 words; for each item the windows just long
        enough to hold it are compared with it: the cosine between the window and the
        item's place in the latent space. Windows at ``least`` or more are candidates,
@@ -334,8 +363,8 @@ def find_leaks(documents: DataFrame, benchmark: DataFrame, least: float = 0.18,
        common subsequence must have ``sure`` of the item's words, or ``likely`` of
        them if the item's last sentence, the answer, is in the window as it is.
 
-    Items are taken 256 at a time, so a task never holds more; documents are read once
-    for each such block. Words are lower-case (A-Z), between white space.
+    Items are taken 256 at a time, so a task never holds more; documents are read twice
+    for weights and space, and once for each such block. Words are lower-case (A-Z), between white space.
 
     Defined cases: null and empty texts and items match nothing; null ids stay null in
     the result; repeated documents and repeated items give repeated rows; an item of
