@@ -124,3 +124,42 @@ def test_space_of_all_documents(spark, documents, monkeypatch):
     held = np.linalg.norm(passages @ space[used]) ** 2
     best = (np.linalg.svd(passages, compute_uv=False)[:12] ** 2).sum()
     assert space.shape[1] == 12 and held > 0.99 * best
+
+
+def test_products_of_passages(monkeypatch):
+    """Frequent terms as a table, the others one by one, whatever the length of passages; equal to the plain product."""
+    monkeypatch.setattr(decontaminate, "RANK", 8)
+    rng = np.random.default_rng(2)
+    terms = rng.zipf(1.3, 40_000) * 7 % decontaminate.TERMS
+    starts = np.unique(np.concatenate([[0], rng.integers(0, len(terms), 9_000), [len(terms) - 3_000]]))
+    starts = starts[(starts < 20_000) | (starts > 21_000)]
+    weight, right = rng.random(decontaminate.TERMS, np.float32), decontaminate._directions()
+    rows, found = decontaminate._there_and_back(terms, starts, weight, right)
+    assert sorted(rows) == sorted(set(terms.tolist()))
+    owner = np.searchsorted(starts, np.arange(len(terms)), "right") - 1
+    np.add.at(lines := np.zeros((len(starts), right.shape[1])), owner, weight[terms, None] * right[terms].astype(np.float64))
+    np.add.at(wanted := np.zeros(right.shape), terms, weight[terms, None] * lines[owner])
+    assert np.allclose(found, wanted[rows], rtol=1e-3, atol=1e-4 * np.abs(wanted).max())
+
+
+def test_windows_without_the_words_of_an_item(monkeypatch):
+    """Only windows that have enough of an item's words are compared word by word, and none of those is left out."""
+    monkeypatch.setattr(decontaminate, "RANK", 8)
+    monkeypatch.setattr(decontaminate, "WINDOW_WORDS", 500)
+    rng = np.random.default_rng(4)
+    noise = lambda n: " ".join(f"filler{x}" for x in rng.integers(0, 300, n))
+    texts = [noise(2_000), f"{noise(100)} {ITEMS[0][1]} {noise(700)} {ITEMS[1][1]}", "", ITEMS[1][1], f"{noise(50)} {ITEMS[0][1]}"]
+    weight = np.ones(decontaminate.TERMS, np.float32)
+    items = decontaminate._prepared([{"item_id": i, "text": x} for i, x in ITEMS], weight, np.zeros((decontaminate.TERMS, 16), np.float32))
+    words, first = decontaminate._tokens(pa.array(texts))
+    compared, verdict = [], decontaminate._verdict
+    monkeypatch.setattr(decontaminate, "_verdict", lambda *given: compared.append(given[2]) or verdict(*given))
+    found = decontaminate.leaks(words, first, items, -1.0, 0.8, 0.6)
+    wanted: dict = {}
+    for doc, i, block in zip(*(x.tolist() for x in decontaminate._candidates(words, first, items, -1.0)), strict=True):
+        low = first[doc] + max(0, block - 1) * decontaminate.BLOCK
+        got = verdict(words[low:min(first[doc + 1], first[doc] + (block + items.blocks[i] + 1) * decontaminate.BLOCK)].tolist(), items, i, 0.8, 0.6)
+        if got:
+            wanted[doc, i] = max(got, wanted.get((doc, i), (0, False)))
+    assert found == wanted and len(found) >= 4
+    assert len(compared) < 40

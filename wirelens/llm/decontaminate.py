@@ -30,9 +30,14 @@ ITEM_WEIGHT = 30.0
 # How strongly rare words outweigh frequent ones.
 STEEP = 1.5
 PIECE = 256 << 10
-# Blocks whose terms are looked up at a time: what they need stays in the processor's cache.
-STRIDE = 256
+# Blocks whose terms are looked up at a time, and rows added up at a time: what they need stays in the processor's cache.
+STRIDE = 64
+GATHER = 256
+DENSE = 256  # the most frequent terms of the passages at hand, multiplied as a table
+PASSAGES = 4096  # passages of such a table
+WINDOW_WORDS = 1 << 18  # words of candidates looked at together
 ROWS = 1024
+_LOWER = arrays.LOWER.tobytes()
 MATCH = "doc_id long, item_id long, item_words int, common_words int, has_answer boolean"
 
 
@@ -47,11 +52,12 @@ class Items:
     blocks: np.ndarray
     likeness: np.ndarray  # of every term to every item, in the latent space
     squares: np.ndarray  # of every term's weight
+    counts: np.ndarray  # words of every item, by term
 
 
 def _tokens(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     data, offsets = arrays.text_bytes(column)
-    data = arrays.LOWER[data]
+    data = np.frombuffer(data.tobytes().translate(_LOWER), np.uint8)
     starts, ends, first = arrays.word_spans(data, offsets)
     return arrays.word_hashes(data, starts, ends), first
 
@@ -98,26 +104,44 @@ def _passages(words: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndar
     return _terms(words), np.flatnonzero(place % FIT_PASSAGE == 0)
 
 
-def _times(terms: np.ndarray, starts: np.ndarray, weight: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """Passages by terms, times a matrix of terms by dimensions."""
-    out = np.zeros((len(starts), right.shape[1]), np.float32)
-    ends = np.append(starts, len(terms))[1:]
-    for i, (a, b) in enumerate(zip(starts, ends, strict=True)):
-        own = terms[a:b]
-        out[i] = weight[own] @ right[own]
-    return out
-
+def _there_and_back(terms: np.ndarray, starts: np.ndarray, weight: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The matrix of weighted passages, transposed, times itself, times a matrix of terms by dimensions: the terms that occur, and their rows.
 
-def _back(terms: np.ndarray, starts: np.ndarray, weight: np.ndarray, left: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Terms by passages, times a matrix of passages by dimensions: the terms that occur, and their rows."""
-    owner = np.repeat(np.arange(len(starts)), np.diff(np.concatenate([starts, [len(terms)]])))
-    order = np.argsort(terms.astype(np.uint16), kind="stable")
-    opens = np.flatnonzero(np.concatenate([[True], terms[order][1:] != terms[order][:-1]])) if len(terms) else np.zeros(0, np.int64)
-    out = np.zeros((len(opens), left.shape[1]), np.float32)
-    for i, (a, b) in enumerate(zip(opens, np.append(opens, len(terms))[1:], strict=True)):
-        own = order[a:b]
-        out[i] = weight[terms[own]] @ left[owner[own]]
-    return terms[order][opens], out
+    The most frequent terms are a dense table of counts; only the words of the others are looked up one by one.
+    """
+    edges = np.append(starts, len(terms))
+    owner = np.repeat(np.arange(len(starts)), np.diff(edges))
+    found = np.bincount(terms, minlength=TERMS)
+    top = np.argsort(found, kind="stable")[-DENSE:]
+    top = top[found[top] > 0]
+    column = np.full(TERMS, -1)
+    column[top] = np.arange(len(top))
+    column = column[terms]
+    dense, weighted = np.zeros((len(top), right.shape[1]), np.float32), weight[top, None] * right[top]
+    often = column >= 0
+    rare, rare_owner = terms[~often], owner[~often]
+    first = np.concatenate([[0], np.cumsum(~often)])[edges]
+    rare_weight, held = weight[rare], np.empty((max(GATHER, int(np.diff(first).max(initial=0))), right.shape[1]), np.float32)
+    left = np.empty((len(starts), right.shape[1]), np.float32)
+    for at in range(0, len(starts), PASSAGES):
+        upto = min(at + PASSAGES, len(starts))
+        here = slice(edges[at], edges[upto])
+        cells = ((owner[here] - at) * len(top) + column[here])[often[here]]
+        table = np.bincount(cells, minlength=(upto - at) * len(top)).reshape(-1, len(top)).astype(np.float32)
+        np.matmul(table, weighted, out=left[at:upto])
+        for i, a, b in zip(range(at, upto), first[at:upto].tolist(), first[at + 1:upto + 1].tolist(), strict=True):
+            left[i] += rare_weight[a:b] @ right.take(rare[a:b], axis=0, out=held[:b - a], mode="clip")
+        dense += table.T @ left[at:upto]
+    order = np.argsort(rare.astype(np.uint16), kind="stable")
+    rare, rare_owner = rare[order], rare_owner[order]
+    opens = np.flatnonzero(np.concatenate([[True], rare[1:] != rare[:-1]])) if len(rare) else np.zeros(0, np.int64)
+    out, ones = np.zeros((len(opens), right.shape[1]), np.float32), np.ones(GATHER, np.float32)
+    for i, (a, b) in enumerate(zip(opens.tolist(), [*opens[1:].tolist(), len(rare)], strict=False)):
+        for at in range(a, b, GATHER):
+            n = min(GATHER, b - at)
+            out[i] += ones[:n] @ left.take(rare_owner[at:at + n], axis=0, out=held[:n], mode="clip")
+    rows = np.concatenate([top, rare[opens]])
+    return rows, np.concatenate([dense, out]) * weight[rows, None]
 
 
 def _turned(base: np.ndarray, turn: np.ndarray) -> np.ndarray:
@@ -170,14 +194,15 @@ def spread(texts: DataFrame, weight: np.ndarray) -> np.ndarray:
         def take(held: list[tuple[np.ndarray, np.ndarray]]) -> None:
             before = np.cumsum([0, *(len(terms) for terms, _ in held)])
             terms, starts = np.concatenate([x for x, _ in held]), np.concatenate([x + n for (_, x), n in zip(held, before[:-1], strict=True)])
-            rows, found = _back(terms, starts, weight, _times(terms, starts, weight, right))
+            rows, found = _there_and_back(terms, starts, weight, right)
             out[rows] += found
 
         held, words = [], 0
         for batch in batches:
             for piece in arrays.slices(batch, "text", PIECE):
                 held.append(_passages(*_tokens(piece.column(0))))
-                words += len(held[-1][0])
+                # Short texts have passages of less than FIT_PASSAGE words.
+                words += max(len(held[-1][0]), FIT_PASSAGE * len(held[-1][1]))
                 if words >= FIT_WORDS:
                     take(held)
                     held, words = [], 0
@@ -212,9 +237,9 @@ def latent_space(spread_out: np.ndarray, items: tuple[np.ndarray, np.ndarray], w
     own_terms, own_first = items
     own_starts = own_first[:-1][np.diff(own_first) > 0]
     random = _directions()
-    rows, found = _back(own_terms, own_starts, weight, _times(own_terms, own_starts, weight, random) * ITEM_WEIGHT)
+    rows, found = _there_and_back(own_terms, own_starts, weight, random)
     sampled = spread_out.copy()
-    sampled[rows] += found * ITEM_WEIGHT
+    sampled[rows] += found * np.float32(ITEM_WEIGHT * ITEM_WEIGHT)
     inner = _gram(random, sampled)
     del random
     base = _orthonormal(sampled)
@@ -245,9 +270,11 @@ def _prepared(rows: list, weight: np.ndarray, spread_out: np.ndarray) -> Items:
     lengths = np.diff(first)
     likeness = np.zeros((TERMS + 1, len(rows)), np.float32)
     np.matmul(by_term, vectors.T, out=likeness[:TERMS])
+    counts = np.zeros((TERMS, len(rows)), np.int32 if len(words) >> 15 else np.int16)
+    np.add.at(counts, (_terms(words), np.repeat(np.arange(len(rows)), lengths)), 1)
     return Items(
         [x["item_id"] for x in rows], places, lengths, [tuple(answers[a:b].tolist()) for a, b in zip(answer_first[:-1], answer_first[1:], strict=True)],
-        (lengths + 2 * BLOCK - 2) // BLOCK, likeness, np.append(weight * weight, 0).astype(np.float32))
+        (lengths + 2 * BLOCK - 2) // BLOCK, likeness, np.append(weight * weight, 0).astype(np.float32), counts)
 
 
 def common_words(window: list[int], places: dict[int, int], length: int) -> int:
@@ -288,12 +315,11 @@ def _candidates(words: np.ndarray, first: np.ndarray, items: Items, least: float
     table = np.full((int(edges[-1]), BLOCK), TERMS, np.int64)
     table.reshape(-1)[np.repeat(edges[:-1] * BLOCK - first[:-1], sizes) + np.arange(len(words))] = _terms(words)
     sums = np.zeros((len(table), len(items.ids)), np.float32)
+    held = np.empty((STRIDE, len(items.ids)), np.float32)
     for at in range(0, len(table), STRIDE):
-        part = table[at:at + STRIDE]
-        held = items.likeness[part[:, 0]]
-        for i in range(1, BLOCK):
-            held += items.likeness[part[:, i]]
-        sums[at:at + STRIDE] = held
+        part, own = table[at:at + STRIDE], sums[at:at + STRIDE]
+        for i in range(BLOCK):
+            own += items.likeness.take(part[:, i], axis=0, out=held[:len(own)], mode="clip")
     squares = np.concatenate([[0], np.cumsum(items.squares[table].sum(axis=1, dtype=np.float64))])
     doc = np.repeat(np.arange(len(sizes)), np.diff(edges))
     block, begin, end = np.arange(len(table)), edges[:-1][doc], edges[1:][doc]
@@ -304,11 +330,12 @@ def _candidates(words: np.ndarray, first: np.ndarray, items: Items, least: float
         size = int(items.blocks[low_item])
         low = np.flatnonzero((block + size <= end) | (block == begin))
         high = np.minimum(low + size, end[low])
-        upto = np.zeros((len(table) + 1, high_item - low_item))
-        np.cumsum(sums[:, low_item:high_item], axis=0, dtype=np.float64, out=upto[1:])
-        dots = upto[high] - upto[low]
+        upto = np.zeros((high_item - low_item, len(table) + 1))
+        np.cumsum(np.array(sums[:, low_item:high_item].T, np.float64, order="C"), axis=1, out=upto[:, 1:])
+        dots = upto.take(high, axis=1)
+        dots -= upto.take(low, axis=1)
         norm = np.sqrt(np.maximum(squares[high] - squares[low], 1e-9))
-        at, item = np.nonzero(dots >= (least * norm)[:, None]) if least >= 0 else np.nonzero(np.ones(dots.shape, bool))
+        item, at = np.divmod(np.flatnonzero(dots >= least * norm) if least >= 0 else np.arange(dots.size), len(low))
         found.append((doc[low[at]], item + low_item, low[at] - begin[low[at]]))
     if not found:
         none = np.zeros(0, np.int64)
@@ -316,16 +343,40 @@ def _candidates(words: np.ndarray, first: np.ndarray, items: Items, least: float
     return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
+def _enough(terms: np.ndarray, low: np.ndarray, high: np.ndarray, item: np.ndarray, items: Items, likely: float) -> np.ndarray:
+    """Which windows have terms of ``likely`` of the item's words at least; each term of a window counts once."""
+    order = np.argsort(terms.astype(np.uint16), kind="stable")
+    same = terms[order][1:] == terms[order][:-1]
+    before = np.full(len(terms), -1)
+    before[order[1:][same]] = order[:-1][same]
+    keep = np.zeros(len(low), bool)
+    upto = np.concatenate([[0], np.cumsum(high - low)])
+    start = 0
+    while start < len(low):
+        end = max(start + 1, int(np.searchsorted(upto, upto[start] + WINDOW_WORDS, "right")) - 1)
+        sizes = (high - low)[start:end]
+        own = np.repeat(np.arange(start, end), sizes)
+        word = np.arange(upto[start], upto[end]) - np.repeat(upto[start:end] - low[start:end], sizes)
+        new = before[word] < low[own]
+        own, word = own[new], word[new]
+        seen = np.bincount(own - start, items.counts[terms[word], item[own]], end - start)
+        keep[start:end] = seen >= likely * items.lengths[item[start:end]]
+        start = end
+    return keep
+
+
 def leaks(words: np.ndarray, first: np.ndarray, items: Items, least: float, sure: float, likely: float) -> dict[tuple[int, int], tuple[int, bool]]:
     """Items that texts hold: (text, item) -> best (common words, answer found)."""
     found: dict[tuple[int, int], tuple[int, bool]] = {}
-    for doc, i, block in zip(*(x.tolist() for x in _candidates(words, first, items, least)), strict=True):
-        start, stop = int(first[doc]), int(first[doc + 1])
-        low = start + max(0, block - 1) * BLOCK
-        window = words[low:min(stop, start + (block + int(items.blocks[i]) + 1) * BLOCK)]
-        got = _verdict(window.tolist(), items, i, sure, likely)
-        if got and got > found.get((doc, i), (0, False)):
-            found[doc, i] = got
+    doc, item, block = _candidates(words, first, items, least)
+    # A candidate with a block on either side.
+    low = first[doc] + np.maximum(0, block - 1) * BLOCK
+    high = np.minimum(first[doc + 1], first[doc] + (block + items.blocks[item] + 1) * BLOCK)
+    keep = _enough(_terms(words), low, high, item, items, likely)
+    for d, i, start, stop in zip(*(x[keep].tolist() for x in (doc, item, low, high)), strict=True):
+        got = _verdict(words[start:stop].tolist(), items, i, sure, likely)
+        if got and got > found.get((d, i), (0, False)):
+            found[d, i] = got
     return found
 
 
