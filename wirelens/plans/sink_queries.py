@@ -322,7 +322,9 @@ def _str1_filtered(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _nplus1(spark: SparkSession, folder: str) -> DataFrame:
-    rows = settled.NPlusOne.rows(_in_parts(spark, materialize(trace_tx(spark, folder)), "started_us", "sequence"), TRACE)
+    # What detection reads; the parts read the table once each.
+    read = trace_tx(spark, folder).select("sequence", "started_us", "duration_ms", "connection_id", "tx_id", "operation", "query", "args")
+    rows = settled.NPlusOne.rows(_in_parts(spark, materialize(read), "started_us", "sequence"), TRACE)
     return _settled(spark, rows, "started_us", lambda tables: settled.NPlusOne(tables, TRACE)).all("hits")
 
 
