@@ -110,38 +110,48 @@ def _there_and_back(terms: np.ndarray, starts: np.ndarray, weight: np.ndarray, r
     The most frequent terms are a dense table of counts; only the words of the others are looked up one by one.
     """
     edges = np.append(starts, len(terms))
-    owner = np.repeat(np.arange(len(starts)), np.diff(edges))
     found = np.bincount(terms, minlength=TERMS)
     top = np.argsort(found, kind="stable")[-DENSE:]
     top = top[found[top] > 0]
-    column = np.full(TERMS, -1)
+    column = np.full(TERMS, -1, np.int32)
     column[top] = np.arange(len(top))
-    column = column[terms]
-    dense, weighted = np.zeros((len(top), right.shape[1]), np.float32), weight[top, None] * right[top]
-    often = column >= 0
-    rare, rare_owner = terms[~often], owner[~often]
-    first = np.concatenate([[0], np.cumsum(~often)])[edges]
-    rare_weight, held = weight[rare], np.empty((max(GATHER, int(np.diff(first).max(initial=0))), right.shape[1]), np.float32)
-    left = np.empty((len(starts), right.shape[1]), np.float32)
+    # One row for each term that occurs, the frequent ones first.
+    rows = np.concatenate([top, np.flatnonzero((found > 0) & (column < 0))])
+    out = np.zeros((len(rows), right.shape[1]), np.float32)
+    dense, others = out[:len(top)], out[len(top):]
+    weighted = weight[top, None] * right[top]
+    left, held = np.empty((len(starts), right.shape[1]), np.float32), np.empty((GATHER, right.shape[1]), np.float32)
+    rare, rare_owner = [], []
     for at in range(0, len(starts), PASSAGES):
         upto = min(at + PASSAGES, len(starts))
-        here = slice(edges[at], edges[upto])
-        cells = ((owner[here] - at) * len(top) + column[here])[often[here]]
-        table = np.bincount(cells, minlength=(upto - at) * len(top)).reshape(-1, len(top)).astype(np.float32)
+        own = terms[edges[at]:edges[upto]]
+        owner = np.repeat(np.arange(upto - at, dtype=np.int32), np.diff(edges[at:upto + 1]))
+        place = column[own]
+        often = place >= 0
+        table = np.bincount(owner[often] * np.int32(len(top)) + place[often], minlength=(upto - at) * len(top))
+        table = table.reshape(-1, len(top)).astype(np.float32)
         np.matmul(table, weighted, out=left[at:upto])
-        for i, a, b in zip(range(at, upto), first[at:upto].tolist(), first[at + 1:upto + 1].tolist(), strict=True):
-            left[i] += rare_weight[a:b] @ right.take(rare[a:b], axis=0, out=held[:b - a], mode="clip")
+        own, owner = own[~often], owner[~often]
+        own_weight, sizes = weight[own], np.bincount(owner, minlength=upto - at)
+        first = np.concatenate([[0], np.cumsum(sizes)]).tolist()
+        if sizes.max() > len(held):
+            held = np.empty((int(sizes.max()), right.shape[1]), np.float32)
+        for i, a, b in zip(range(at, upto), first, first[1:], strict=False):
+            left[i] += own_weight[a:b] @ right.take(own[a:b], axis=0, out=held[:b - a], mode="clip")
         dense += table.T @ left[at:upto]
-    order = np.argsort(rare.astype(np.uint16), kind="stable")
-    rare, rare_owner = rare[order], rare_owner[order]
-    opens = np.flatnonzero(np.concatenate([[True], rare[1:] != rare[:-1]])) if len(rare) else np.zeros(0, np.int64)
-    out, ones = np.zeros((len(opens), right.shape[1]), np.float32), np.ones(GATHER, np.float32)
-    for i, (a, b) in enumerate(zip(opens.tolist(), [*opens[1:].tolist(), len(rare)], strict=False)):
-        for at in range(a, b, GATHER):
-            n = min(GATHER, b - at)
-            out[i] += ones[:n] @ left.take(rare_owner[at:at + n], axis=0, out=held[:n], mode="clip")
-    rows = np.concatenate([top, rare[opens]])
-    return rows, np.concatenate([dense, out]) * weight[rows, None]
+        rare.append(own.astype(np.uint16))
+        rare_owner.append(owner + np.int32(at))
+    if len(others):
+        order = np.argsort(np.concatenate(rare), kind="stable")
+        rare_owner = np.concatenate(rare_owner)[order].astype(np.int64)
+        upto = np.cumsum(found[rows[len(top):]]).tolist()
+        ones = np.ones(GATHER, np.float32)
+        for row, a, b in zip(others, [0, *upto], upto, strict=False):
+            for at in range(a, b, GATHER):
+                n = min(GATHER, b - at)
+                row += ones[:n] @ left.take(rare_owner[at:at + n], axis=0, out=held[:n], mode="clip")
+    out *= weight[rows, None]
+    return rows, out
 
 
 def _turned(base: np.ndarray, turn: np.ndarray) -> np.ndarray:
@@ -195,7 +205,8 @@ def spread(texts: DataFrame, weight: np.ndarray) -> np.ndarray:
             before = np.cumsum([0, *(len(terms) for terms, _ in held)])
             terms, starts = np.concatenate([x for x, _ in held]), np.concatenate([x + n for (_, x), n in zip(held, before[:-1], strict=True)])
             rows, found = _there_and_back(terms, starts, weight, right)
-            out[rows] += found
+            for at in range(0, len(rows), ROWS):
+                out[rows[at:at + ROWS]] += found[at:at + ROWS]
 
         held, words = [], 0
         for batch in batches:
