@@ -62,3 +62,26 @@ def test_detection_streams_only_what_it_reads(spark, monkeypatch):
     assert not {"response_rows", "status_tag"} & set(seen)
     wanted = sink_queries.settled.NPlusOne.rows(events, sink_queries.TRACE)
     assert found.columns == wanted.columns and sorted(map(repr, found.collect())) == sorted(map(repr, wanted.collect()))
+
+
+def test_enrichment_streams_only_what_it_reads(spark, monkeypatch):
+    row = (1, 5, 200.0, "c1", "", "Query", "SELECT 1 FROM t WHERE id = 7", ["a"], "bad", [["wide"]], "SELECT 1")
+    names = "sequence bigint, started_us bigint, duration_ms double, connection_id string, tx_id string, operation string, query string, args array<string>, error string, response_rows array<array<string>>, status_tag string"
+    events = spark.createDataFrame([row, (2, *row[1:6], "SELECT 2", None, "", *row[9:])], names)
+    seen = []
+
+    def whole(spark, rows, at, order):
+        seen.extend(rows.columns)
+        return rows
+
+    class Ended:
+        def __init__(self, rows):
+            self.all = lambda name: rows
+
+    monkeypatch.setattr(sink_queries, "trace_tx", lambda spark, folder: events)
+    monkeypatch.setattr(sink_queries, "_in_parts", whole)
+    monkeypatch.setattr(sink_queries, "_settled", lambda spark, rows, at, make: Ended(rows))
+    found = sink_queries._enriched(spark, "")
+    assert seen and not {"response_rows", "status_tag"} & set(seen)
+    wanted = sink_queries.settled.Enrichment.rows(events, sink_queries.TRACE).select(*found.columns)
+    assert sorted(map(repr, found.collect())) == sorted(map(repr, wanted.collect()))

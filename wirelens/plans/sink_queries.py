@@ -305,7 +305,9 @@ def _settled(spark: SparkSession, rows: DataFrame, at: str, make) -> settled.Tab
 
 
 def _enriched(spark: SparkSession, folder: str) -> DataFrame:
-    rows = settled.Enrichment.rows(_in_parts(spark, materialize(trace_tx(spark, folder)), "started_us", "sequence"), TRACE)
+    # What detection and the status read; no query shows another column, and the parts read the table once each.
+    read = trace_tx(spark, folder).select("sequence", "started_us", "duration_ms", "connection_id", "tx_id", "operation", "query", "args", "error")
+    rows = settled.Enrichment.rows(_in_parts(spark, materialize(read), "started_us", "sequence"), TRACE)
     return _settled(spark, rows, "started_us", lambda tables: settled.Enrichment(tables, TRACE)).all("events")
 
 
