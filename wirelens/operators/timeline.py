@@ -84,8 +84,12 @@ def time_bins(rows: DataFrame, width: int) -> DataFrame:
 def grouped_list(events: DataFrame, block_rows: int = 65536) -> DataFrame:
     """Events by sequence, each transaction gathered under a header at its first event."""
     first = tx_groups(events).withColumnRenamed("first_sequence", "group_key")
-    blocked = blocks.with_block(events, "sequence", block_rows)
-    rows = blocked.join(per_block(events, first, block_rows), ["tx_id", blocks.BLOCK], "left").select(
+    shown = events.select("sequence", "tx_id", "query", "duration_ms")
+    inside = F.coalesce(F.col("tx_id") != "", F.lit(False))
+    # Only events of a transaction have a header to look up; the others stay where they are.
+    found = blocks.with_block(shown.where(inside), "sequence", block_rows).join(
+        per_block(events, first, block_rows), ["tx_id", blocks.BLOCK], "left").drop(blocks.BLOCK)
+    rows = found.unionByName(shown.where(~inside), allowMissingColumns=True).select(
         F.lit("event").alias("kind"), F.coalesce("group_key", "sequence").alias("group_key"), "sequence", "tx_id",
         text.compact_query(F.col("query"), 120).alias("query"), "duration_ms", F.lit(1).cast("bigint").alias("event_count"),
     )
