@@ -3,6 +3,7 @@
 import math
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -10,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from wirelens.llm import language_model, quality
+from wirelens.llm import arrays, language_model, quality
 
 
 def word_list(text):
@@ -165,3 +166,30 @@ def test_nothing_to_learn(spark, documents):
     doc = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 7 == 2)
     row = language_model.score_documents(documents([(doc, "a b")])).first()
     assert row.held_out and row.score == 0 and row.base_score == 0 and row.train_tokens == 0
+
+
+def test_quality_working_memory():
+    """Base counts need few bytes for each of the text, whatever a text's length, and the same counts come out; a piece of a batch is small."""
+    rng = random.Random(6)
+    texts = [" ".join(f"wörd{rng.randrange(5000)}" + "\n" * (i % 9 == 0) for i in range(40_000)) for _ in range(3)]
+    texts += ["ab cd #\n" * 40_000, "", None]
+    column = pa.array(texts)
+    arrays._powers.clear()
+    tracemalloc.start()
+    found = quality.base_statistics(column)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 40 * column.nbytes
+    names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+    assert list(zip(*(found[n].tolist() for n in names))) == [base(t) for t in texts]
+    assert quality.PIECE <= 1 << 19
+
+
+def test_blocks_of_counts():
+    """Counts of several tasks, sent as blocks of buckets, have the sums of their buckets; sizes that blocks do not divide."""
+    rng, sizes = np.random.default_rng(2), (512, 1001)
+    tasks = [[rng.integers(0, 9, (2, size)) * (rng.random((2, size)) < share) for size in sizes] for share in (0.9, 0.01, 0.0)]
+    sent = [batch for totals in tasks for batch in quality._blocks(totals)]
+    found = quality._added(quality._blocks(quality._added(sent, sizes)), sizes)
+    assert all((f == sum(t[k] for t in tasks)).all() for k, f in enumerate(found))
+    assert all(not f.any() for f in quality._added([], sizes))

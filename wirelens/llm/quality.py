@@ -16,8 +16,13 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 SYMBOLS = np.zeros(256, bool)
 SYMBOLS[list(b"#*$%&|<>")] = True
-PIECE = 2 << 20
+# Bytes that begin a code point of a word: none of a continuation, no white space.
+POINTS = ~arrays.GAPS
+POINTS[0x80:0xC0] = False
+PIECE = 1 << 19
+BLOCK = 64
 RESULT = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, score double, toxicity double, kept boolean"
+COUNTS = "kind int, block long, a array<long>, b array<long>"
 DEFAULTS = {"threshold": -0.15, "buckets": 1 << 16, "longest": 2, "least_words": 50, "most_repeated": 0.5, "max_trusted": 200_000, "most_toxic": 1.6, "toxic_buckets": 1 << 18}
 # ASCII letters in lower case, other ASCII signs than letters and digits blank.
 PLAIN = arrays.LOWER.copy()
@@ -78,16 +83,18 @@ def _twice(keys: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return many, later
 
 
+def _per_text(flags: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Number of flagged bytes of every text."""
+    ends = offsets.tolist()
+    return np.array([np.count_nonzero(flags[a:b]) for a, b in zip(ends, ends[1:])], np.int64)
+
+
 def base_statistics(column: pa.Array) -> dict[str, np.ndarray]:
     """Counts of every whole text: words, their code points, symbols, repeated lines, words in repeated 3-word windows."""
     data, offsets = arrays.text_bytes(column)
     starts, ends, first = arrays.word_spans(data, offsets)
-    sums = arrays.prefix_sums(data.astype(np.uint64) + np.uint64(1))
-    words = arrays.spans_hash(sums, starts, ends)
+    words = arrays.word_hashes(data, starts, ends)
     n = len(words)
-    points = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
-    chars = np.concatenate([[0], np.cumsum(points[ends] - points[starts])])
-    symbols = np.concatenate([[0], np.cumsum(SYMBOLS[data])])
     # Windows of three words.
     threes = np.flatnonzero(arrays.room(first, n) >= 3)
     many, _ = _twice(arrays.windows_hash(arrays.prefix_sums(words), 3)[threes], np.searchsorted(first, threes, "right"))
@@ -100,9 +107,9 @@ def base_statistics(column: pa.Array) -> dict[str, np.ndarray]:
     line_ends = np.minimum(np.concatenate([breaks, [len(data)]])[np.searchsorted(breaks, line_starts)], offsets[doc + 1])
     worded = np.searchsorted(starts, line_ends) > np.searchsorted(starts, line_starts)
     line_starts, line_ends, doc = line_starts[worded], line_ends[worded], doc[worded]
-    _, later = _twice(arrays.spans_hash(sums, line_starts, line_ends), doc)
+    _, later = _twice(arrays.word_hashes(data, line_starts, line_ends), doc)
     return {
-        "n_words": np.diff(first).astype(np.int64), "word_chars": chars[first[1:]] - chars[first[:-1]], "n_symbols": symbols[offsets[1:]] - symbols[offsets[:-1]],
+        "n_words": np.diff(first).astype(np.int64), "word_chars": _per_text(POINTS[data], offsets), "n_symbols": _per_text(SYMBOLS[data], offsets),
         "n_dup_lines": np.bincount(doc[later], minlength=len(column)).astype(np.int64), "n_repeat_words": repeated[first[1:]] - repeated[first[:-1]],
     }
 
@@ -119,6 +126,27 @@ def marked_ids(labels: DataFrame, most: int) -> DataFrame:
     return both.where(F.pmod(F.xxhash64("doc_id"), most_of) < most)
 
 
+def _blocks(totals: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    """Both counts of each kind as rows of ``BLOCK`` buckets, without rows of zeros."""
+    for kind, both in enumerate(totals):
+        a, b = np.pad(both, ((0, 0), (0, -both.shape[1] % BLOCK))).reshape(2, -1, BLOCK)
+        full = np.flatnonzero(a.any(1) | b.any(1))
+        ends = pa.array(np.arange(len(full) + 1, dtype=np.int32) * BLOCK)
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(full), kind, np.int32)), pa.array(full), *(pa.ListArray.from_arrays(ends, pa.array(v[full].ravel())) for v in (a, b))], ["kind", "block", "a", "b"])
+
+
+def _added(batches: Iterator[pa.RecordBatch], sizes: tuple[int, int]) -> list[np.ndarray]:
+    """Both counts of each kind, summed over the rows of ``_blocks``."""
+    totals = [np.zeros((2, -(-size // BLOCK), BLOCK), np.int64) for size in sizes]
+    for batch in batches:
+        kind, block = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        for which, column in enumerate(batch.columns[2:]):
+            rows = column.flatten().to_numpy().reshape(-1, BLOCK)
+            for k, total in enumerate(totals):
+                np.add.at(total[which], block[kind == k], rows[kind == k])
+    return [total.reshape(2, -1)[:, :size] for total, size in zip(totals, sizes)]
+
+
 def ratios(documents: DataFrame, marked: DataFrame, buckets: int, longest: int, toxic_buckets: int) -> tuple[np.ndarray, np.ndarray]:
     """Log ratios by bucket, counted in one pass: of n-grams between trusted text and the raw corpus, of words between toxic and trusted documents.
 
@@ -127,10 +155,11 @@ def ratios(documents: DataFrame, marked: DataFrame, buckets: int, longest: int,
     one is added to both, so that a word of a single toxic document weighs little.
     """
 
+    # The last place of the second kind counts documents.
+    sizes = buckets, toxic_buckets + 1
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        raw, target = np.zeros(buckets, np.int64), np.zeros(buckets, np.int64)
-        # The last place counts documents.
-        clean, toxic = np.zeros(toxic_buckets + 1, np.int64), np.zeros(toxic_buckets + 1, np.int64)
+        (raw, target), (toxic, clean) = totals = [np.zeros((2, size), np.int64) for size in sizes]
         for batch in batches:
             for piece in arrays.slices(batch, "text", PIECE):
                 found, owner = _features(*_lowered(piece.column(0)), buckets, longest)
@@ -142,17 +171,17 @@ def ratios(documents: DataFrame, marked: DataFrame, buckets: int, longest: int,
                         words, _ = _once(*_plain_words(piece.column(0).filter(pa.array(which)), toxic_buckets), toxic_buckets)
                         np.add.at(counts, words, 1)
                         counts[-1] += which.sum()
-        for kind, (a, b) in enumerate(((raw, target), (toxic, clean))):
-            full = np.flatnonzero(a + b)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(full), kind, np.int32)), pa.array(full), pa.array(a[full]), pa.array(b[full])], ["kind", "bucket", "a", "b"])
+        yield from _blocks(totals)
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _blocks(_added(batches, sizes))
 
     # At most twice max_trusted ids.
     texts = documents.join(F.broadcast(marked), "doc_id", "left").select("text", F.coalesce("mark", F.lit(0)).alias("mark"))
-    counts = texts.mapInArrow(count, "kind int, bucket long, a long, b long").groupBy("kind", "bucket").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
-    # At most one row a bucket of either kind.
-    rows = counts.toArrow()
-    kind, bucket, a, b = (rows.column(c).to_numpy() for c in ("kind", "bucket", "a", "b"))
-    (raw, target), (toxic, clean) = [[np.bincount(bucket[kind == k], v[kind == k], n) for v in (a, b)] for k, n in ((0, buckets), (1, toxic_buckets + 1))]
+    # A task has every bucket once already, so its counts go to their sums as they are, blocks of buckets a row: no table of buckets in the JVM.
+    counts = texts.mapInArrow(count, COUNTS).repartition("kind", "block").mapInArrow(add, COUNTS)
+    # At most one row a block of either kind.
+    (raw, target), (toxic, clean) = (both.astype(np.float64) for both in _added(counts.toArrow().to_batches(), sizes))
     good = np.log((target + 1) / (target.sum() + buckets) * (raw.sum() + buckets) / (raw + 1)) if target.sum() else np.zeros(buckets)
     bad = np.log((toxic[:-1] + 1) / (clean[:-1] * toxic[-1] / max(clean[-1], 1) + 1))
     return good.astype(np.float32), bad.astype(np.float32)
