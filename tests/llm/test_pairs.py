@@ -1,5 +1,7 @@
 """Near-duplicates and decontamination against all pairs."""
 
+import re
+
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -54,6 +56,28 @@ def test_components(spark, documents, awkward):
     assert simhash.near_duplicates(documents([])).count() == 0
 
 
+def test_names_are_no_longer_than_nodes(spark, monkeypatch, capsys):
+    """A component in all parts, and many small ones: each name is told to the parts that have nodes, and to no other."""
+    rng = np.random.default_rng(6)
+    base, *lone = (int(x) for x in rng.integers(0, 1 << 63, 91, dtype=np.int64))
+    large = [base, *(base ^ 1 << b for b in range(63))]
+    rows = [*((None if i == 2 else 500 - i, i, fp) for i, fp in enumerate(large)), *((1000 + i, i, fp) for i, fp in enumerate(lone)), (2000, 7, lone[0]), (None, 8, lone[1])]
+    frame = spark.createDataFrame(rows, "doc_id long, row long, fp long")
+    monkeypatch.setattr(simhash, "fingerprints", lambda documents, shingle: frame)
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = simhash.near_duplicates(frame)
+        told = found.collect()
+        found.explain("formatted")
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    least = {fp: 437 if fp in set(large) else 1000 + lone.index(fp) for *_, fp in rows}
+    assert sorted((tuple(r) for r in told), key=repr) == sorted(((i, f"{fp:016x}", least[fp]) for i, _, fp in rows), key=repr)
+    sent = [float(x) for x in re.findall(r"rowCount=([0-9.E+]+)", capsys.readouterr().out)]
+    assert sent and max(sent) <= len(rows)
+
+
 @pytest.mark.parametrize("seed", [0, 1])
 def test_trie_links(seed):
     rng = np.random.default_rng(seed)

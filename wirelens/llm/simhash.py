@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from ..operators.materialize import materialize
 from .rows import row_key, take_rows
@@ -285,11 +285,13 @@ def _grouped(documents: DataFrame, shingle: int, errors: int) -> DataFrame:
     found = materialize(fingerprints(documents, shingle))
     nodes = found.groupBy("fp").agg(F.min("doc_id").alias("least"))
     joined = components(links(nodes.select("fp"), errors))
-    rooted = nodes.join(joined, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    names = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    # One component may hold a large share of all nodes: its name goes to each of its parts.
-    spread = names.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
-    named = rooted.withColumn("part", F.pmod(F.xxhash64("fp"), F.lit(PARTS)).cast("int")).join(spread, ["root", "part"]).select(F.col("fp").alias("node"), "root", "component_id")
+    part = F.pmod(F.xxhash64("fp"), F.lit(PARTS)).cast("int").alias("part")
+    rooted = nodes.join(joined, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"), part)
+    # One component may hold a large share of all nodes: its name goes to each of its parts that has nodes. These
+    # are rows that are there, at most as many as nodes; Spark would count those of an explode as one a component.
+    pieces = rooted.groupBy("root", "part").agg(F.min("least").alias("least"))
+    names = pieces.select("root", "part", F.min("least").over(Window.partitionBy("root")).alias("component_id"))
+    named = rooted.join(names, ["root", "part"]).select(F.col("fp").alias("node"), "root", "component_id")
     return found.join(named, F.col("fp") == F.col("node")).select("doc_id", "row", "fp", "root", "component_id")
 
 
